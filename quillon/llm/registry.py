@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import packing, quality, repair, transducer
 
-QUERIES = {"op5_host_rules": quality.op5_host_rules}
+QUERIES = {
+    "op3_repair_tokens": repair.op3_repair_tokens,
+    "op5_host_rules": quality.op5_host_rules,
+    "op6_vector_packing": packing.op6_vector_packing,
+    "op7_transducer_counts": transducer.op7_transducer_counts,
+}
 ORACLES = {"op5_host_rules": quality.ORACLE_SQL}
