@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, quality, repair, transducer
+from . import packing, quality, repair, simhash, transducer, warc
 
 QUERIES = {
     "op3_repair_tokens": repair.op3_repair_tokens,
     "op5_host_rules": quality.op5_host_rules,
     "op6_vector_packing": packing.op6_vector_packing,
     "op7_transducer_counts": transducer.op7_transducer_counts,
+    "op9_warc_revisits": warc.op9_warc_revisits,
+    "op10_simhash_balls": simhash.op10_simhash_balls,
 }
-ORACLES = {"op5_host_rules": quality.ORACLE_SQL}
+ORACLES = {"op5_host_rules": quality.ORACLE_SQL, "op9_warc_revisits": warc.ORACLE_SQL}
