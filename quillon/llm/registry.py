@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, quality, repair, simhash, transducer, warc
+from . import html, packing, quality, repair, simhash, transducer, warc
 
 QUERIES = {
     "op3_repair_tokens": repair.op3_repair_tokens,
+    "op4_html_text": html.op4_html_text,
     "op5_host_rules": quality.op5_host_rules,
     "op6_vector_packing": packing.op6_vector_packing,
     "op7_transducer_counts": transducer.op7_transducer_counts,
