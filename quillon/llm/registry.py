@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, packing, quality, repair, simhash, transducer, warc
+from . import decontaminate, html, packing, quality, repair, simhash, transducer, warc
 
 QUERIES = {
     "op3_repair_tokens": repair.op3_repair_tokens,
@@ -10,7 +10,12 @@ QUERIES = {
     "op5_host_rules": quality.op5_host_rules,
     "op6_vector_packing": packing.op6_vector_packing,
     "op7_transducer_counts": transducer.op7_transducer_counts,
+    "op8_template_decontamination": decontaminate.op8_template_decontamination,
     "op9_warc_revisits": warc.op9_warc_revisits,
     "op10_simhash_balls": simhash.op10_simhash_balls,
 }
-ORACLES = {"op5_host_rules": quality.ORACLE_SQL, "op9_warc_revisits": warc.ORACLE_SQL}
+ORACLES = {
+    "op5_host_rules": quality.ORACLE_SQL,
+    "op8_template_decontamination": decontaminate.ORACLE_SQL,
+    "op9_warc_revisits": warc.ORACLE_SQL,
+}
