@@ -8,6 +8,8 @@ absent (tests, notebooks) a folder of our own is used.
 
 from __future__ import annotations
 
+import gc
+import math
 import os
 import re
 import tempfile
@@ -15,6 +17,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,9 +44,41 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back with its lineage cut."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path, schema = new_path(spark, name), df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: The place of a row in its file.
+ROW = ["_q_file", "_q_row"]
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """Adds the place of each row in its file: a key that repeated rows don't share.
+
+    The key is the same in every scan of the table, so verdicts on it can be
+    joined back without moving the text along with the measures.  Rows that
+    don't come from files are written first."""
+    try:
+        meta = docs.metadataColumn("_metadata")
+        return docs.select("*", F.xxhash64(meta["file_path"]).alias(ROW[0]), meta["row_index"].alias(ROW[1]))
+    except AnalysisException:
+        return identified(written(docs, "rows"))
+
+
+def sharded(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int, *more: str) -> DataFrame:
+    """doc_id, text (null: empty), ``more`` columns and shard of every row; shards hold
+    about ``shard_bytes`` of text, whatever ids and texts repeat."""
+    df = identified(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more, *ROW)
+    size = df.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    shards = max(partitions(docs.sparkSession), math.ceil(size / shard_bytes))
+    return df.withColumn("shard", F.pmod(F.xxhash64(*ROW), F.lit(shards)).cast("int")).drop(*ROW)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -22,8 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .quality import ROW, identified
+from .common import ROW, identified, written
 
 WINDOW, COVERAGE, BROADCAST_ROWS = 8, 0.5, 2_000_000
 #: Fixed list of units that may follow a number.

@@ -17,11 +17,10 @@ scratch columns start with ``_q_``.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, partitions, written
+from .common import ROW, WORD_PATTERN, identified, partitions, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -34,20 +33,6 @@ SOFT = {
 }
 FLAG_RATE, LEAST_STRENGTH, MOST_STRENGTH = 0.5, 1.0, 10000.0
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
-ROW = ["_q_file", "_q_row"]
-
-
-def identified(docs: DataFrame) -> DataFrame:
-    """Adds the place of each row in its file: a key that repeated rows don't share.
-
-    The key is the same in every scan of the table, so verdicts on it can be
-    joined back without moving the text along with the measures.  Rows that
-    don't come from files are written first."""
-    try:
-        meta = docs.metadataColumn("_metadata")
-        return docs.select("*", F.xxhash64(meta["file_path"]).alias(ROW[0]), meta["row_index"].alias(ROW[1]))
-    except AnalysisException:
-        return identified(written(docs, "rows"))
 
 
 def measured(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
