@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import brown, decontaminate, html, packing, quality, repair, simhash, transducer, warc
+from . import brown, decontaminate, html, packing, quality, repair, simhash, substrings, transducer, warc
 
 QUERIES = {
+    "op1_suffix_dedup": substrings.op1_suffix_dedup,
     "op2_class_bigrams": brown.op2_class_bigrams,
     "op3_repair_tokens": repair.op3_repair_tokens,
     "op4_html_text": html.op4_html_text,
