@@ -72,9 +72,17 @@ def identified(docs: DataFrame) -> DataFrame:
         return identified(written(docs, "rows"))
 
 
-def sharded(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int, *more: str) -> DataFrame:
-    """doc_id, text (null: empty), ``more`` columns and shard of every row; shards hold
-    about ``shard_bytes`` of text, whatever ids and texts repeat."""
+def named(docs: DataFrame) -> list:
+    """The table's own columns, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def sharded(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int, carry: bool = False) -> DataFrame:
+    """doc_id, text (null: empty) and shard of every row, and with ``carry`` the whole other
+    columns as one struct, ``more``; shards hold about ``shard_bytes`` of text, whatever
+    ids and texts repeat."""
+    rest = [c for c in named(docs) if docs.select(c).columns[0] not in (id_col, text_col)]
+    more = [F.struct(*rest, F.lit(None).cast("int").alias("_q_none")).alias("more")] if carry else []
     df = identified(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more, *ROW)
     size = df.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     shards = max(partitions(docs.sparkSession), math.ceil(size / shard_bytes))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, identified, written
+from .common import ROW, identified, named, written
 
 WINDOW, COVERAGE, BROADCAST_ROWS = 8, 0.5, 2_000_000
 #: Fixed list of units that may follow a number.
@@ -100,7 +100,7 @@ def op8_template_decontamination(spark, sf_dir: str) -> DataFrame:
 def clean_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, with their own columns."""
     held = written(leaks(docs, benchmark).select(*ROW).distinct(), "held")
-    return identified(docs).join(held, ROW, "left_anti").select(*docs.columns)
+    return identified(docs).join(held, ROW, "left_anti").select(*named(docs))
 
 
 _UNITS = ", ".join(f"'{u}'" for u in UNITS)

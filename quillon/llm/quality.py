@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, WORD_PATTERN, identified, partitions, written
+from .common import ROW, WORD_PATTERN, identified, named, partitions, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -132,7 +132,7 @@ def filter_stage(docs: DataFrame, text: str = "text", host: str = "source") -> D
     """The documents that stay, with their own columns."""
     keyed = identified(docs)
     kept = written(host_rules(docs, text, host).where("_q_kept").select(*ROW), "kept")
-    return keyed.join(kept, ROW, "left_semi").select(*docs.columns)
+    return keyed.join(kept, ROW, "left_semi").select(*named(docs))
 
 
 _WORD_SQL = r"'[^\x20\x09-\x0D]+'"

@@ -306,8 +306,9 @@ def repeated_windows(table: pa.Table, length: int) -> pa.Table:
     return pa.table({"k1": part["k1"], "k2": part["k2"], "bits": pa.array([bits[i] for i in use], pa.binary())})
 
 
-def judged(docs: DataFrame, verdicts, length: int, more: tuple[str, ...], more_types: str) -> DataFrame:
+def judged(docs: DataFrame, verdicts, length: int) -> DataFrame:
     """Every document with the spans that go (start, stop, in bytes)."""
+    carried = [f for f in docs.schema.fields if f.name == "more"]
 
     def run(texts: pa.Table, own: pa.Table) -> pa.Table:
         pieces = Pieces(texts["text"], length)
@@ -351,17 +352,17 @@ def judged(docs: DataFrame, verdicts, length: int, more: tuple[str, ...], more_t
             cuts = [0, *(c for s in spans for c in s), len(b)]
             kept.append(b"".join(b[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)) if spans else b)
         columns = {"doc_id": texts["doc_id"], "n_bytes": pa.array([len(b) for b in pieces.texts], pa.int64()), "spans": pa.array(gone, pa.list_(pa.list_(pa.int64()))), "kept": pa.array(kept, pa.binary())}
-        return pa.table(columns | {c: texts[c] for c in more})
+        return pa.table(columns | {f.name: texts[f.name] for f in carried})
 
-    schema = "doc_id long, n_bytes long, spans array<array<bigint>>, kept binary" + more_types
+    schema = "doc_id long, n_bytes long, spans array<array<bigint>>, kept binary" + "".join(f", more {f.dataType.simpleString()}" for f in carried)
     return docs.groupBy("shard").cogroup(verdicts).applyInArrow(run, schema)
 
 
-def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, more: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, spans that go, the kept bytes, and ``more`` columns, for every row."""
+def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: bool = False) -> DataFrame:
+    """doc_id, n_bytes, spans that go and the kept bytes of every row; with ``carry`` the
+    other columns as a struct, ``more``."""
     spark = docs.sparkSession
-    kinds = dict(docs.dtypes)
-    df = sharded(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, SHARD_BYTES, *more) if dict(docs.dtypes)[id_col] != "bigint" else sharded(docs, id_col, text_col, SHARD_BYTES, *more)
+    df = sharded(docs, id_col, text_col, SHARD_BYTES, carry).withColumn("doc_id", F.col("doc_id").cast("long"))
     texts = df.select("shard", "text")
     anchors = written(anchor_counts(texts, length), "anchors")
     freed(spark)
@@ -387,11 +388,31 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .union(hot.select("shard", "k1", "k2").distinct().join(twice, ["k1", "k2"]).select("shard", "k1", "k2", F.lit(2), none))
     )
     verdicts = written(verdicts, "verdicts")
-    more_types = "".join(f", `{c}` {kinds[c]}" for c in more)
-    return judged(df, verdicts.groupBy("shard"), length, more, more_types)
+    freed(spark)
+    return judged(df, verdicts.groupBy("shard"), length)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     df = repeats_removed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
     return df.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def dedup_stage(docs: DataFrame, length: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows with their own columns; the text is what is left of it, and ``n_chars``
+    its characters.  A character that a cut would split goes as a whole."""
+    df = repeats_removed(docs, id_col, text_col, length, carry=True)
+    whole = F.col("kept").cast("string")
+    text = F.when(F.is_valid_utf8(whole), whole).otherwise(F.regexp_replace(F.make_valid_utf8(whole), "\ufffd", ""))
+    df = df.withColumn("_q_text", text)
+
+    def column(name: str):
+        if name == id_col:
+            return F.col("doc_id").cast(docs.schema[name].dataType).alias(name)
+        if name == text_col:
+            return F.col("_q_text").alias(name)
+        if name == "n_chars":
+            return F.length("_q_text").cast(docs.schema[name].dataType).alias(name)
+        return F.col("more").getField(name).alias(name)
+
+    return df.select(*map(column, docs.columns))
