@@ -146,6 +146,8 @@ class Blocks(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.stack and self.stack[-1][3]:
+            return  # also of a script or an advert within a line
         self.parts.append(data)
         if self.links:
             self.linked += len(data)
