@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import freed, mixed, sharded, written
 from .suffixes import suffix_array
@@ -354,7 +355,7 @@ def judged(docs: DataFrame, verdicts, length: int) -> DataFrame:
         columns = {"doc_id": texts["doc_id"], "n_bytes": pa.array([len(b) for b in pieces.texts], pa.int64()), "spans": pa.array(gone, pa.list_(pa.list_(pa.int64()))), "kept": pa.array(kept, pa.binary())}
         return pa.table(columns | {f.name: texts[f.name] for f in carried})
 
-    schema = "doc_id long, n_bytes long, spans array<array<bigint>>, kept binary" + "".join(f", more {f.dataType.simpleString()}" for f in carried)
+    schema = StructType([*StructType.fromDDL("doc_id long, n_bytes long, spans array<array<bigint>>, kept binary"), *carried])
     return docs.groupBy("shard").cogroup(verdicts).applyInArrow(run, schema)
 
 
