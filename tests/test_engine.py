@@ -169,3 +169,34 @@ def test_llm_is_optional():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_modification_statements(spark):
+    e = Engine(spark)
+    rows = lambda: sorted(tuple(r) for r in e.sql("SELECT * FROM acc").collect())
+    e.sql("CREATE TABLE acc (id INT PRIMARY KEY, name TEXT, n INT DEFAULT 7)")
+    assert e.sql("INSERT INTO acc (id, name) VALUES (1, 'a'), (2, NULL)").first()[0] == 2
+    assert rows() == [(1, "a", 7), (2, None, 7)]
+    assert [tuple(r) for r in e.sql("UPDATE acc SET n = n + 1, name = 'z' WHERE id = 1 RETURNING id, n").collect()] == [(1, 8)]
+    e.sql("INSERT INTO acc VALUES (1, 'new', 5), (3, 'c', 1) ON CONFLICT (id) DO UPDATE SET n = n + excluded.n, name = excluded.name")
+    assert rows() == [(1, "new", 13), (2, None, 7), (3, "c", 1)]
+    e.sql("INSERT INTO acc VALUES (1, 'no', 0), (4, 'd', 4) ON CONFLICT (id) DO NOTHING")
+    e.sql("REPLACE INTO acc VALUES (2, 'b', 2)")
+    assert rows() == [(1, "new", 13), (2, "b", 2), (3, "c", 1), (4, "d", 4)]
+    assert e.sql("DELETE FROM acc WHERE id IN (SELECT id FROM acc WHERE n < 3)").first()[0] == 2
+    e.sql("ALTER TABLE acc ADD COLUMN extra INT8 DEFAULT 3")
+    e.sql("ALTER TABLE acc RENAME COLUMN extra TO more")
+    assert e.sql("SELECT sum(more) FROM acc").first()[0] == 6
+    e.sql("CREATE TABLE copy AS SELECT id FROM acc")
+    e.sql("TRUNCATE acc")
+    assert (e.sql("SELECT count(*) FROM acc").first()[0], e.sql("SELECT count(*) FROM copy").first()[0]) == (0, 2)
+    e.sql("DROP TABLE acc, copy")
+
+
+def test_with_context(spark):
+    e = Engine(spark)
+    e.register("seeds", spark.createDataFrame([("a",)], "node string"))
+    e.register_graph(spark.createDataFrame([("a", "b", "x", 1.0), ("b", "c", "x", 1.0), ("a", "d", "y", 1.0)], "src string, dst string, label string, weight double"))
+    got = e.sql("SELECT node FROM seeds WITH CONTEXT (HOPS 2, EDGES x, DIRECTION out)").collect()
+    assert [tuple(r) for r in got] == [("a", 0), ("b", 1), ("c", 2)]
+    assert len(e.sql("SELECT node FROM seeds WITH CONTEXT (HOPS 2, RERANK BY centrality, LIMIT 2)").collect()) == 2
