@@ -48,18 +48,25 @@ def subscribed(df: DataFrame, sub: Subscription) -> DataFrame:
     return df.withColumnsRenamed(sub.rename).drop(*sub.drop)
 
 
+def _timed(df: DataFrame, ts: str, late: str) -> tuple[DataFrame, str]:
+    """Watermarks need an instant: a time without zone is taken as one, and given back as it was."""
+    kind = dict(df.dtypes)[ts]
+    df = df.withColumn(ts, F.col(ts).cast("timestamp"))
+    return (df.withWatermark(ts, late) if df.isStreaming else df), kind
+
+
 def windowed(df: DataFrame, ts: str, size: str, slide: str | None = None, late: str = "1 hour", keys: list[str] | None = None, value: str | None = None) -> DataFrame:
     """Counts (and sums) over tumbling or sliding windows; late rows beyond the watermark go."""
-    df = df.withWatermark(ts, late) if df.isStreaming else df
+    df, kind = _timed(df, ts, late)
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
     out = df.groupBy(w, *(keys or [])).agg(F.count(F.lit(1)).alias("n"), *([F.sum(value).alias("total")] if value else []))
-    return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *(keys or []), "n", *(["total"] if value else []))
+    return out.select(F.col("window.start").cast(kind).alias("start"), F.col("window.end").cast(kind).alias("end"), *(keys or []), "n", *(["total"] if value else []))
 
 
 def sessions(df: DataFrame, ts: str, gap: str, keys: list[str], late: str = "1 hour") -> DataFrame:
-    df = df.withWatermark(ts, late) if df.isStreaming else df
+    df, kind = _timed(df, ts, late)
     out = df.groupBy(F.session_window(ts, gap), *keys).agg(F.count(F.lit(1)).alias("n"))
-    return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, "n")
+    return out.select(F.col("session_window.start").cast(kind).alias("start"), F.col("session_window.end").cast(kind).alias("end"), *keys, "n")
 
 
 def maintained_view(stream: DataFrame, path: str, keys: list[str], value: str, checkpoint: str) -> StreamingQuery:
