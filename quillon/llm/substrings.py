@@ -17,7 +17,7 @@ places, so windows are judged among those of their anchor only:
 4. verdicts return to the shards and become spans of the documents.
 
 Every step is a shuffle by shard, anchor or digest; nothing is collected.  A shard's
-text is handled in pieces of a megabyte, so very long texts need little memory.
+text is handled in pieces of a quarter of a megabyte, so very long texts need little memory.
 
 Null text is empty; texts shorter than ``length`` stay as they are, unless they are
 part of nothing; repeated rows are repeats of each other; an empty table gives an
@@ -26,7 +26,7 @@ empty result.  Strings are judged on the input, so all their copies go.
 
 from __future__ import annotations
 
-import hashlib
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +38,7 @@ from pyspark.sql.types import StructType
 from .common import freed, mixed, sharded, written
 from .suffixes import suffix_array
 
-LENGTH, SHARD_BYTES, PIECE, HOT_RUNS, BUCKET_SYMBOLS = 400, 12_000_000, 1 << 20, 512, 100_000
+LENGTH, SHARD_BYTES, PIECE, HOT_RUNS, BUCKET_SYMBOLS = 400, 12_000_000, 1 << 18, 512, 100_000
 PLACE_BITS = np.uint64(20)
 #: Odd multipliers and byte values of the two polynomial hashes, by a rule.
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -50,27 +50,40 @@ def grams_of(length: int) -> int:
     return max(1, length * 8 // 25)
 
 
+@functools.cache
+def powers(which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse, for any place of a piece."""
+    base = BASES[which]
+    out = []
+    for x in (base, np.uint64(pow(int(base), -1, 1 << 64))):
+        row = np.full(PIECE + 1, x, np.uint64)
+        row[0] = 1
+        out.append(np.multiply.accumulate(row))
+    return tuple(out)
+
+
 class Hashes:
     """Prefix sums of polynomial hashes of a piece; any substring's hash is two lookups."""
 
     def __init__(self, data: np.ndarray):
-        n = len(data) + 1
-        self.sums, self.inverse = [], []
-        for base, values in zip(BASES, BYTES, strict=True):
-            powers = np.full(n, base, np.uint64)
-            powers[0] = 1
-            np.multiply.accumulate(powers, out=powers)
-            back = np.full(n, pow(int(base), -1, 1 << 64), np.uint64)
-            back[0] = 1
-            np.multiply.accumulate(back, out=back)
-            total = np.zeros(n, np.uint64)
-            np.cumsum(values[data] * powers[:-1], out=total[1:])
-            self.sums.append(total)
-            self.inverse.append(back)
+        self.data, self.sums = data, {}
+
+    def total(self, which: int) -> np.ndarray:
+        if which not in self.sums:
+            total = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum(BYTES[which][self.data] * powers(which)[0][: len(self.data)], out=total[1:])
+            self.sums[which] = total
+        return self.sums[which]
 
     def of(self, start: np.ndarray, stop: np.ndarray, which: int) -> np.ndarray:
-        total = self.sums[which]
-        return mixed((total[stop] - total[start]) * self.inverse[which][start])
+        total = self.total(which)
+        return mixed((total[stop] - total[start]) * powers(which)[1][start])
+
+    def all(self, width: int) -> np.ndarray:
+        """The first hash of every substring of a width."""
+        total = self.total(0)
+        n = len(total) - width
+        return mixed((total[width:] - total[:n]) * powers(0)[1][:n])
 
 
 @dataclass
@@ -105,29 +118,27 @@ def runs_of(data: np.ndarray, starts: np.ndarray, length: int) -> Runs:
     hashes, empty = Hashes(data), np.empty(0, np.int64)
     if len(data) < length:
         return Runs(np.empty(0, np.uint64), empty, empty, empty, hashes)
-    at = np.arange(len(data) - gram + 1)
-    h = hashes.of(at, at + gram, 0)
-    key = (h >> PLACE_BITS << PLACE_BITS) | (np.uint64((1 << int(PLACE_BITS)) - 1) - at.astype(np.uint64))
-    least = sliding_min(key, grams)
-    place = (np.uint64((1 << int(PLACE_BITS)) - 1) - (least & np.uint64((1 << int(PLACE_BITS)) - 1))).astype(np.int64)
-    whole = np.zeros(len(data) + 1, bool)  # windows within one text
+    h = hashes.all(gram)
+    low = np.uint64((1 << int(PLACE_BITS)) - 1)
+    least = sliding_min((h & ~low) | (low - np.arange(len(h), dtype=np.uint64)), grams)
     ends = np.append(starts[1:], len(data))
-    step = np.zeros(len(data) + 1, np.int64)
     stop = ends - length + 1
-    good = stop > starts
-    np.add.at(step, starts[good], 1)
-    np.add.at(step, stop[good], -1)
-    whole = np.cumsum(step)[: len(place)] > 0
-    windows = np.flatnonzero(whole)
-    if not len(windows):
+    good = stop > starts  # texts with a window
+    step = np.zeros(len(least) + 1, np.int8)
+    step[starts[good]] += 1
+    step[stop[good]] -= 1
+    whole = np.cumsum(step[:-1], dtype=np.int8) > 0  # windows within one text
+    new = np.ones(len(least), bool)  # where a run begins: another anchor, or another text
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    new[starts[good]] = True
+    new &= whole
+    first = np.flatnonzero(new)
+    if not len(first):
         return Runs(np.empty(0, np.uint64), empty, empty, empty, hashes)
-    a = place[windows]
-    text = np.searchsorted(starts, windows, "right")
-    new = np.flatnonzero((np.diff(windows) != 1) | (np.diff(a) != 0) | (np.diff(text) != 0)) + 1
-    first = windows[np.concatenate([[0], new])]
-    last = windows[np.concatenate([new - 1, [len(windows) - 1]])]
-    a = place[first]
-    return Runs(h[a], a, first, last, hashes)
+    last = np.append(first[1:], len(least)) - 1
+    last = np.minimum(last, stop[good][np.searchsorted(starts[good], first, "right") - 1] - 1)
+    place = (low - (least[first] & low)).astype(np.int64)
+    return Runs(h[place], place, first, last, hashes)
 
 
 class Pieces:
@@ -311,39 +322,42 @@ def judged(docs: DataFrame, verdicts, length: int) -> DataFrame:
     """Every document with the spans that go (start, stop, in bytes)."""
     carried = [f for f in docs.schema.fields if f.name == "more"]
 
+    def covered(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Which of n places are in some span from first to last."""
+        step = np.zeros(n + 1, np.int64)
+        np.add.at(step, first, 1)
+        np.add.at(step, last + 1, -1)
+        return np.cumsum(step[:-1]) > 0
+
     def run(texts: pa.Table, own: pa.Table) -> pa.Table:
         pieces = Pieces(texts["text"], length)
-        bits = own["bits"].to_pylist()
         kind = own["kind"].to_numpy()
-        runs_known = own.filter(pa.array(kind < 2))
-        run_bits = [b for b, k in zip(bits, kind, strict=True) if k < 2]
-        keys = Keys(runs_known)
-        hot = Keys(own.filter(pa.array(kind == 2)))
+        known = own.filter(pa.array(kind < 2))
+        bits = known["bits"].to_pylist()
+        keys, hot = Keys(known), Keys(own.filter(pa.array(kind == 2)))
         gone: list[list] = [[] for _ in pieces.texts]
-        for _, starts, rows, offsets, runs in pieces if own.num_rows else ():
-            k1, k2 = runs.digest(length)
-            found = keys.find(k1, k2)
-            text = np.searchsorted(starts, runs.first, "right") - 1
-            use = found >= 0
+        for data, starts, rows, offsets, runs in pieces if own.num_rows else ():
+            n = len(data)
+            found = keys.find(*runs.digest(length))
+            part = np.array([r >= 0 and bool(bits[r]) for r in found.tolist()], bool)
+            whole = (found >= 0) & ~part
+            windows = covered(n, runs.first[whole], runs.last[whole])
+            for i in np.flatnonzero(part).tolist():
+                windows[runs.first[i] : runs.last[i] + 1] |= np.frombuffer(bits[found[i]], bool)
             if len(hot.a):
-                use |= True
-            for i in np.flatnonzero(use).tolist():
-                first, last = int(runs.first[i]), int(runs.last[i])
-                b = run_bits[found[i]] if found[i] >= 0 else None
-                shift = int(offsets[text[i]]) - int(starts[text[i]])
-                if found[i] >= 0 and not b:
-                    spans = [(first, last)]
-                else:
-                    if b:
-                        at = np.frombuffer(b, np.uint8) > 0
-                    else:
-                        s = np.arange(first, last + 1)
-                        at = hot.find(runs.hashes.of(s, s + length, 0), runs.hashes.of(s, s + length, 1)) >= 0
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], at.astype(np.int8), [0]])))
-                    spans = [(first + x, first + y - 1) for x, y in edge.reshape(-1, 2).tolist()]
-                mine = gone[rows[text[i]]]
-                for x, y in spans:
-                    x, y = x + shift, y + shift + length
+                at = np.flatnonzero(covered(n, runs.first[found < 0], runs.last[found < 0]))
+                at = at[member(runs.hashes.of(at, at + length, 0), hot.a) >= 0]
+                again = hot.find(runs.hashes.of(at, at + length, 0), runs.hashes.of(at, at + length, 1)) >= 0
+                windows[at[again]] = True
+            at = np.flatnonzero(windows)
+            if not len(at):
+                continue
+            bytes_gone = covered(n, at, at + length - 1)
+            ends = np.append(starts[1:], n)
+            for k in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
+                edge = np.flatnonzero(np.diff(bytes_gone[starts[k] : ends[k]].astype(np.int8), prepend=0, append=0)) + int(offsets[k])
+                mine = gone[rows[k]]
+                for x, y in edge.reshape(-1, 2).tolist():
                     if mine and x <= mine[-1][1]:
                         mine[-1][1] = max(y, mine[-1][1])
                     else:
