@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rows_of
-from .tokens import WordIds, token_path
+from .tokens import token_path, word_ids
 
 
 @dataclass(frozen=True)
@@ -121,7 +121,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits
     (binary, little-endian u4).  The first ``context_tokens`` of a document bear no loss."""
 
     def pack(batches):
-        coder, end = WordIds(tokenizer), np.array([end_id], "<u4").tobytes()
+        coder, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
         packer, base, count = Packer(limits), TaskContext.get().partitionId() << 32, 0
         held: dict[int, list] = {}  # key: document's id, ids, tokens not yet given
         fresh: list[tuple] = []

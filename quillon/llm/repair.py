@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, partitions, rows_of, texts_of
-from .tokens import WordIds, token_path
+from .tokens import token_path, word_ids
 
 MAGIC = b"QRP1"
 BLOCK_TOKENS, ROUNDS, LEAST_COUNT, PAIRS_A_ROUND, HASH_BITS = 1_000_000, 5, 8, 4096, 18
@@ -170,7 +170,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, first:
     """Encode every text, end it with ``end_id`` and write the blocks in ascending id order."""
 
     def encode(batches):
-        coder, end = WordIds(tokenizer), np.array([end_id], "<u4").tobytes()
+        coder, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
         shard, block, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flushed():

@@ -11,6 +11,7 @@ library whole.  ``tests/llm`` holds this against the library on whole texts.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 
@@ -86,6 +87,12 @@ class WordIds:
         return x
 
 
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """The worker's own coder, whose caches live on from task to task."""
+    return WordIds(path)
+
+
 def token_path(name: str) -> str:
     """Where the named public vocabulary file is on this machine."""
     import public_tokenizers
