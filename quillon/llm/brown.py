@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, sharded, written
+from .common import discard, freed, sharded, written
 
 CLASSES, ALONE, ROUNDS = 64, 32, 2
 END, UNKNOWN, STATES = CLASSES, CLASSES + 1, CLASSES + 2
@@ -53,7 +53,7 @@ class Shard:
         numbers: dict[bytes, int] = defaultdict(count().__next__)
         number, parts, ends = numbers.__getitem__, [], []
         for text in texts:
-            words = text.as_py().encode("utf-8", "surrogatepass").lower().split()
+            words = text.as_buffer().to_pybytes().lower().split()
             part = np.empty(len(words) + 1, np.int32)
             part[:-1] = np.fromiter(map(number, words), np.int32, len(words))
             part[-1] = -1
@@ -64,17 +64,21 @@ class Shard:
         digest = xxhash.xxh64_intdigest
         self.words = np.array([digest(w) for w in numbers], np.uint64).view(np.int64)
 
-    def looked_up(self, dictionary: pa.Table, column: str, missing: int, end: int) -> np.ndarray:
-        """A column of the dictionary for each token."""
+    def looked_up(self, dictionary: pa.Table, **columns: tuple[int, int]) -> list[np.ndarray]:
+        """Columns of the dictionary for each token; given with each: its value for words that
+        are missing, and for ends."""
         known = dictionary["word"].to_numpy()
         order = np.argsort(known)
         at = np.minimum(np.searchsorted(known, self.words, sorter=order), max(len(known) - 1, 0))
-        out = np.full(len(self.words) + 1, missing, np.int64)
-        if len(known):
-            found = known[order[at]] == self.words
-            out[:-1][found] = dictionary[column].to_numpy()[order[at]][found]
-        out[-1] = end
-        return out[self.tokens]
+        found = known[order[at]] == self.words if len(known) else None
+        result = []
+        for column, (missing, end) in columns.items():
+            out = np.full(len(self.words) + 1, missing, np.int64)
+            if found is not None:
+                out[:-1][found] = dictionary[column].to_numpy()[order[at]][found]
+            out[-1] = end
+            result.append(out[self.tokens])
+        return result
 
     def before(self, values: np.ndarray, end: int) -> np.ndarray:
         """The value of the token before each; a text begins after an end."""
@@ -93,14 +97,12 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return docs.groupBy("shard").applyInArrow(run, "shard int, word long, c long")
 
 
-def first_classes(words: DataFrame) -> DataFrame:
+def first_class(words: np.ndarray, top: list[int]) -> np.ndarray:
     """The most frequent words each begin in a class of their own, others by hash."""
-    top = [r["word"] for r in words.orderBy(F.desc("c"), "word").limit(ALONE).collect()]
-    place = F.lit(None).cast("int")
+    out = np.mod(words, CLASSES - ALONE) + ALONE
     for i, w in enumerate(top):
-        place = F.when(F.col("word") == w, i).otherwise(place)
-    rest = F.pmod(F.col("word"), F.lit(CLASSES - ALONE)).cast("int") + ALONE
-    return words.select("word", "c", F.coalesce(place, rest).alias("class"))
+        out[words == w] = i
+    return out
 
 
 def by_shard(shard_words: DataFrame, classes: DataFrame) -> DataFrame:
@@ -108,11 +110,12 @@ def by_shard(shard_words: DataFrame, classes: DataFrame) -> DataFrame:
     return shard_words.select("shard", "word").join(classes, "word").groupBy("shard")
 
 
-def neighbours(train: DataFrame, dictionary, buckets: int, words_too: bool) -> DataFrame:
-    """Blocks of counts by bucket of words: the classes before (0...) and after (STATES...)
+def neighbours(train: DataFrame, dictionary, top: list[int], buckets: int, words_too: bool) -> DataFrame:
+    """Without a dictionary words are in their first class: every word of a training text is
+    in the vocabulary.  Blocks of counts by bucket of words: the classes before (0...) and after (STATES...)
     each word; in bucket -1 the class bigrams, as ``a * STATES + b``."""
 
-    def run(texts: pa.Table, own: pa.Table) -> pa.Table:
+    def run(texts: pa.Table, own: pa.Table | None = None) -> pa.Table:
         shard = Shard(texts["text"])
         out = {"bucket": [], "words": [], "sides": [], "counts": []}
 
@@ -120,7 +123,10 @@ def neighbours(train: DataFrame, dictionary, buckets: int, words_too: bool) -> D
             for k, v in zip(out, (bucket, words.tobytes(), sides.tobytes(), counts.astype(np.uint32).tobytes()), strict=True):
                 out[k].append(v)
 
-        state = shard.looked_up(own, "class", UNKNOWN, END)
+        if own is None:
+            state = np.append(first_class(shard.words, top), END)[shard.tokens]
+        else:
+            (state,) = shard.looked_up(own, **{"class": (UNKNOWN, END)})
         left = shard.before(state, END)
         pairs = np.bincount(left * STATES + state, minlength=STATES * STATES)
         add(-1, np.flatnonzero(pairs), np.empty(0, np.uint8), pairs[pairs > 0])
@@ -139,7 +145,10 @@ def neighbours(train: DataFrame, dictionary, buckets: int, words_too: bool) -> D
                 add(int(b[x]), words[x:y], sides[x:y], n[x:y])
         return pa.table({"bucket": pa.array(out["bucket"], pa.int64()), **{k: pa.array(out[k], pa.binary()) for k in ("words", "sides", "counts")}})
 
-    return train.groupBy("shard").cogroup(dictionary).applyInArrow(run, "bucket long, words binary, sides binary, counts binary")
+    schema = "bucket long, words binary, sides binary, counts binary"
+    if dictionary is None:
+        return train.groupBy("shard").applyInArrow(lambda texts: run(texts), schema)
+    return train.groupBy("shard").cogroup(dictionary).applyInArrow(lambda texts, own: run(texts, own), schema)
 
 
 def bigrams(blocks: DataFrame) -> np.ndarray:
@@ -160,7 +169,7 @@ def bigrams(blocks: DataFrame) -> np.ndarray:
     return out.reshape(STATES, STATES)
 
 
-def exchanged(blocks: DataFrame, classes: DataFrame, transitions: np.ndarray, sizes: np.ndarray) -> DataFrame:
+def exchanged(blocks: DataFrame, words: DataFrame, transitions: np.ndarray, sizes: np.ndarray) -> DataFrame:
     """Every training word in the class that makes the text most likely."""
     forth = np.log(transitions).astype(np.float32)
 
@@ -182,7 +191,7 @@ def exchanged(blocks: DataFrame, classes: DataFrame, transitions: np.ndarray, si
         return pa.table({"word": pa.array(own), "class": pa.array(best)})
 
     moved = blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(run, "word long, class int")
-    return moved.join(classes.select("word", "c"), "word").select("word", "c", "class")
+    return moved.join(words, "word").select("word", "c", "class")
 
 
 def transition_matrix(pairs: np.ndarray, unknown: float) -> np.ndarray:
@@ -207,8 +216,7 @@ def scored(docs: DataFrame, dictionary, matrix: np.ndarray, class_counts: np.nda
     def run(texts: pa.Table, own: pa.Table) -> pa.Table:
         n = texts.num_rows
         shard = Shard(texts["text"])
-        state = shard.looked_up(own, "class", UNKNOWN, END)
-        c = shard.looked_up(own, "c", 0, ends)
+        state, c = shard.looked_up(own, **{"class": (UNKNOWN, END), "c": (0, ends)})
         if n:
             at = np.concatenate([[0], np.cumsum(shard.lengths)[:-1]])
             log = step[shard.before(state, END), state]
@@ -235,16 +243,22 @@ def class_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum((F.col("c") == 1).cast("long")), F.lit(0))).first()
     tokens, kinds, once = found[0] + ends, found[1] + (ends > 0), found[2]
     unknown = min(max((once + 0.5) / (tokens + 1), 1e-9), 0.5)
-    classes = written(first_classes(words), "classes")
+    top = [r["word"] for r in words.orderBy(F.desc("c"), "word").limit(ALONE).collect()]
+    classes = None
     buckets = max(1, math.ceil(2 * tokens / BUCKET_COUNTS))
+    rounds = max(rounds, 1)
     for turn in range(rounds + 1):
         last = turn == rounds
-        blocks = written(neighbours(train, by_shard(shard_words, classes), buckets, not last), "neighbours")
+        dictionary = by_shard(shard_words, classes) if turn else None
+        blocks = written(neighbours(train, dictionary, top, buckets, not last), "neighbours")
         pairs = bigrams(blocks)
         matrix, sizes = transition_matrix(pairs, unknown), pairs.sum(0)
         freed(docs.sparkSession)
         if not last:
-            classes = written(exchanged(blocks, classes, matrix, sizes), "classes")
+            before, classes = classes, written(exchanged(blocks, words, matrix, sizes), "classes")
+            if before is not None:
+                discard(before)
+        discard(blocks)
     out = scored(docs, by_shard(shard_words, classes), matrix, sizes, tokens, kinds, ends)
     return out.withColumn("train_tokens", F.lit(tokens).cast("long"))
 

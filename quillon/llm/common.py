@@ -46,7 +46,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path, schema = new_path(spark, name), df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._quillon_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a written table that no later plan reads: what was made of it is written too."""
+    drop_path(df.sparkSession, df._quillon_path)
 
 
 def freed(spark: SparkSession) -> None:
