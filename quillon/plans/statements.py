@@ -150,6 +150,22 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
         "SELECT n_nationkey, cardinality(a) AS n, array_position(a, n_nationkey) AS p, array_join(array_append(a, 99), ',') AS ap, array_join(array_remove(a, 2), ',') AS rm FROM (SELECT n_nationkey, array(n_nationkey, 2, n_nationkey + 1) AS a FROM nation)",
         "SELECT n_nationkey, len(a)::INT AS n, list_position(a, n_nationkey)::BIGINT AS p, array_to_string(list_append(a, 99), ',') AS ap, array_to_string(list_filter(a, lambda x: x <> 2), ',') AS rm FROM (SELECT n_nationkey, [n_nationkey, 2, n_nationkey + 1] AS a FROM nation)",
     ),
+    "function_patterns": (
+        "SELECT o_orderkey, to_char(o_orderdate, 'YYYY-MM-DD HH24:MI:SS') AS t, to_date('2024/02/29', 'YYYY/MM/DD') AS d, date_format(o_orderdate, '%d.%m.%Y') AS m FROM orders",
+        "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS t, DATE '2024-02-29' AS d, strftime(o_orderdate, '%d.%m.%Y') AS m FROM orders",
+    ),
+    "function_extract_fields": (
+        "SELECT o_orderkey, EXTRACT(epoch FROM o_orderdate) AS e, EXTRACT(dow FROM o_orderdate) AS w, EXTRACT(isodow FROM o_orderdate) AS i, date_part('century', o_orderdate) AS c FROM orders",
+        "SELECT o_orderkey, epoch_us(o_orderdate) / 1e6 AS e, dayofweek(o_orderdate)::INT AS w, isodow(o_orderdate)::INT AS i, ceil(year(o_orderdate) / 100)::INT AS c FROM orders",
+    ),
+    "function_dialect_strings": (
+        "SELECT c_custkey, concat(c_name, NULL, '!') AS c, initcap(c_mktsegment) AS i, trunc(c_acctbal) AS t, trunc(c_acctbal, 1) AS t1 FROM customer",
+        "SELECT c_custkey, concat(c_name, NULL, '!') AS c, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS i, trunc(c_acctbal) AS t, sign(c_acctbal) * floor(abs(c_acctbal) * 10) / 10 AS t1 FROM customer",
+    ),
+    "function_ts_rank": (
+        "SELECT doc_id, round(ts_rank(to_tsvector(text), to_tsquery('the en')), 6) AS score FROM documents",
+        "SELECT doc_id, round(ln(4.0 / 3) * 2.2 * (a / (a + 1.2) + b / (b + 1.2)), 6) AS score FROM (SELECT doc_id, len(list_filter(t, lambda x: x = 'the')) AS a, len(list_filter(t, lambda x: x = 'en')) AS b FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents))",
+    ),
     "function_text_search": (
         "SELECT doc_id FROM documents WHERE to_tsvector(text) @@ plainto_tsquery('the en')",
         "SELECT doc_id FROM documents WHERE list_has_any(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ['the', 'en'])",
