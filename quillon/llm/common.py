@@ -71,7 +71,9 @@ def identified(docs: DataFrame) -> DataFrame:
 
     The key is the same in every scan of the table, so verdicts on it can be
     joined back without moving the text along with the measures.  Rows that
-    don't come from files are written first."""
+    don't come from files are written first, so a table is to be identified once."""
+    if ROW[0] in docs.columns:
+        return docs
     try:
         meta = docs.metadataColumn("_metadata")
         return docs.select("*", F.xxhash64(meta["file_path"]).alias(ROW[0]), meta["row_index"].alias(ROW[1]))

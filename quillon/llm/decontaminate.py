@@ -99,8 +99,9 @@ def op8_template_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def clean_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, with their own columns."""
-    held = written(leaks(docs, benchmark).select(*ROW).distinct(), "held")
-    return identified(docs).join(held, ROW, "left_anti").select(*named(docs))
+    keyed = identified(docs)
+    held = written(leaks(keyed, benchmark).select(*ROW).distinct(), "held")
+    return keyed.join(held, ROW, "left_anti").select(*named(docs))
 
 
 _UNITS = ", ".join(f"'{u}'" for u in UNITS)

@@ -131,7 +131,7 @@ def op5_host_rules(spark, sf_dir: str) -> DataFrame:
 def filter_stage(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The documents that stay, with their own columns."""
     keyed = identified(docs)
-    kept = written(host_rules(docs, text, host).where("_q_kept").select(*ROW), "kept")
+    kept = written(host_rules(keyed, text, host).where("_q_kept").select(*ROW), "kept")
     return keyed.join(kept, ROW, "left_semi").select(*named(docs))
 
 

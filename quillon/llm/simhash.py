@@ -274,6 +274,7 @@ def near_classes(docs: DataFrame, size: int = STAGE_WORDS, most: float = MOST_DI
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Of every class of near-duplicates the row with the least doc_id, with its own columns."""
-    rows = written(near_classes(docs), "rows")
+    keyed = identified(docs)
+    rows = written(near_classes(keyed), "rows")
     kept = rows.groupBy("root").agg(F.min(F.struct("doc_id", *ROW)).alias("k")).select(*(F.col(f"k.{c}").alias(c) for c in ROW))
-    return identified(docs).join(written(kept, "kept"), ROW, "left_semi").select(*named(docs))
+    return keyed.join(written(kept, "kept"), ROW, "left_semi").select(*named(docs))
