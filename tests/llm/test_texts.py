@@ -291,3 +291,31 @@ def test_base32():
     from pyspark.sql import SparkSession
 
     assert SparkSession.getActiveSession().range(1).select(warc.base32_sha1(F.lit("abc"))).first()[0] == want
+
+
+def test_messy_columns_reach_every_operator(clash, spark):
+    """Nulls, empty and long texts, repeated rows and columns named like our own."""
+    texts = [None, "", "z" * 3000, "a b c d e f", "a b c d e f", "word " * 500]
+    df = clash(texts)
+    n = len(texts)
+    assert brown.class_scores(df).count() == n
+    assert packing.packed(df, token_path("word_bpe_49k.json"), 1).select("doc_id").distinct().count() == n
+    assert transducer.token_counts(df, token_path(transducer.MODEL)).count() == n
+    assert simhash.classes(simhash.fingerprints(df, 4)).count() == n
+    assert quality.host_rules(df, carry=("doc_id",)).count() == n
+    repeated = df.union(df)  # a plan over files: rows are told apart by scan
+    assert quality.host_rules(repeated, carry=("doc_id",)).count() == 2 * n
+    assert simhash.one_of_each(repeated).count() == 4
+
+
+def test_empty_tables(table, spark, tmp_path):
+    df = table([])
+    assert transducer.token_counts(df, token_path(transducer.MODEL)).count() == 0
+    assert packing.packed(df, token_path("word_bpe_49k.json"), 1).count() == 0
+    assert quality.host_rules(df).count() == 0
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert repair.op3_repair_tokens(spark, f"file://{tmp_path}").count() == 0
+    pages = table([], "page_id long, url string, html string")
+    assert html.extracted(pages).count() == 0
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    assert warc.op9_warc_revisits(spark, f"file://{tmp_path}").count() == 0
