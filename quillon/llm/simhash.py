@@ -183,7 +183,7 @@ def op10_simhash_balls(spark, sf_dir: str) -> DataFrame:
 #: bits as a fingerprint of its own.  Two texts with a similarity of 0.8 differ in a share
 #: of about 0.15 of the bits; in 24 tables, nineteen pairs in twenty of those have one with two or fewer
 #: differing bits, and pairs of unrelated texts hardly ever.
-STAGE_WORDS, HASHES, TABLES, SHORT, SHORT_RADIUS, TABLES_A_PASS = 5, 6, 24, 32, 2, 3
+STAGE_WORDS, HASHES, TABLES, SHORT, SHORT_RADIUS, TABLES_A_PASS, TABLE_BUCKET = 5, 6, 24, 32, 2, 3, 100_000
 SKETCH = 64 * HASHES
 #: At most this share of differing bits: acos(2 s / (1 + s)) / pi for a similarity s of 0.8 is 0.151, and
 #: over one and a half deviations of the estimate more, so that few pairs of that similarity are lost.
@@ -201,7 +201,7 @@ def met_tables(sketches: DataFrame, n: int) -> DataFrame:
     """Links (u, v) between ids whose short fingerprints meet at a variant in some table."""
     spark, names = sketches.sparkSession, [c for c in sketches.columns if c.startswith("fp")]
     masks = np.array([m for m in ball(SHORT_RADIUS // 2) if m < (1 << SHORT)], np.uint64)
-    buckets = max(1, -(-n * len(masks) * TABLES_A_PASS // BUCKET_VARIANTS))
+    buckets = max(1, -(-n * len(masks) * TABLES_A_PASS // TABLE_BUCKET))
     path = new_path(spark, "links")
 
     def emit(tables: range):
