@@ -36,11 +36,11 @@ def base32_sha1(payload: Column) -> Column:
     """Upper-case base32 of the SHA-1: five hex digits are four letters."""
     digest = F.sha1(payload)
 
-    def letters(i: Column) -> Column:
-        v = F.conv(F.substring(digest, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
+    def letters(i: int) -> Column:
+        v = F.conv(F.substring(digest, 5 * i + 1, 5), 16, 10).cast("int")
         return F.concat(*(F.substring(F.lit(ALPHABET), F.shiftright(v, k).bitwiseAND(31) + 1, F.lit(1)) for k in (15, 10, 5, 0)))
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), letters), "")
+    return F.concat(*map(letters, range(8)))
 
 
 def verdicts(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -83,7 +83,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
         http,
         F.when(o.isNull(), payload).otherwise(""),
     )
-    out = df.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip")
+    out = df.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
     out.option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
