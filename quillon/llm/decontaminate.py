@@ -1,4 +1,4 @@
-r"""Benchmark decontamination by template windows, in DataFrame functions only.
+r"""Benchmark decontamination by template and literal windows, in DataFrame functions only.
 
 A token is a run of letters and digits.  A token that begins with a digit becomes a
 number slot; a unit after a number a unit slot; a capitalised token that goes on a
@@ -8,13 +8,16 @@ Matches are put together by document, item and offset.  A document holds an item
 at least ``COVERAGE`` of the item's tokens are covered and the slots are consistent:
 each value in the item stands for one value in the document throughout, and the other
 way round.  So a question with other numbers or names is caught, and one that merely
-uses the same phrases is not.
+uses the same phrases is not.  An item that is mostly slots is no template.
+
+Every item is also looked for word for word, by windows of lower-cased tokens without
+slots, and held at the same coverage.
 
 Only the benchmark's window hashes are broadcast, and only while they are fewer than
-``BROADCAST_ROWS``; beyond that the windows are shuffled.  Windows of an item that
-are mostly slots are no template and are left out.  Null texts have no tokens and
-match nothing; repeated documents and items give a row each; empty tables give an
-empty result.
+``BROADCAST_ROWS``; beyond that the windows are shuffled.  A window of slots alone is
+left out: the item's other tokens, half of it at least, are covered without.  Null
+texts have no tokens and match nothing; repeated documents and items give a row each;
+empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +35,12 @@ TOKEN, BREAK = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
 #: At most three characters, none of which ends a sentence, between a name and the token before.
 GAP = r"[^\p{L}\p{N}.!?:;\n]{1,3}"
 TOKENS = rf"[\p{{L}}\p{{N}}{NAME}-{UNIT}]+"
+#: What the paths of a match are, the first of a pair of document and item counts.
+PLACE, LITERAL = 0, 1
+
+
+def cleaned(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "   ")
 
 
 def tokens(text: Column) -> tuple[Column, Column]:
@@ -44,6 +53,12 @@ def tokens(text: Column) -> tuple[Column, Column]:
     return F.array_remove(F.split(F.lower(x), broken), ""), F.array_remove(F.split(clean, broken), "")
 
 
+def literals(text: Column) -> tuple[Column, Column]:
+    """The lower-cased tokens, without slots, in the two roles of ``tokens``."""
+    words = F.array_remove(F.split(F.lower(cleaned(text)), rf"{BREAK}+"), "")
+    return words, words
+
+
 def windows(df: DataFrame, size: Column | int, at: str = "at") -> DataFrame:
     """A row for each window of ``size`` tokens, with its place and hash."""
     word = lambda k: F.get("canon", F.col(at) + k)
@@ -55,23 +70,34 @@ def is_slot(x: Column) -> Column:
     return x.isin(NAME, NUMBER, UNIT)
 
 
-def template(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def template(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", form=tokens) -> DataFrame:
     """item_id, canonical and raw tokens of every item."""
-    canon, raw = tokens(F.col(text_col))
+    canon, raw = form(F.col(text_col))
     return benchmark.select(F.col(id_col).cast("long").alias("item_id"), canon.alias("canon"), raw.alias("item_raw")).where(F.size("canon") > 0)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
-    """A row per place where a document holds an item: the document's key (ROW) and id,
-    item_id, n_covered and n_item tokens, and whether values differ (``changed``)."""
-    items = written(template(benchmark), "items").withColumn("n_item", F.size("canon"))
+def consistent(df: DataFrame, coverage: float) -> DataFrame:
+    """Of groups of ``places`` those that cover enough with one value for each of the item's."""
+    df = df.withColumn("n_covered", F.size(F.array_distinct(F.transform("places", lambda p: p["i"])))).where(F.col("n_covered") >= coverage * F.col("n_item"))
+    slots = F.filter("places", lambda p: is_slot(F.get("canon", p["i"])))
+    pairs = F.array_distinct(F.transform(slots, lambda p: F.struct(F.lower(F.get("item_raw", p["i"])).alias("a"), p["t"].alias("b"))))
+    df = df.withColumn("pairs", pairs)
+    one = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs")
+    df = df.where(one("a") & one("b"))
+    return df.select(*ROW, "doc_id", "item_id", "n_covered", "n_item", F.exists("pairs", lambda p: p["a"] != p["b"]).alias("changed"))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, form, id_col: str, text_col: str, coverage: float) -> DataFrame | None:
+    """The columns of ``leaks`` by the tokens that ``form`` gives; None without items."""
+    items = template(benchmark, form=form).withColumn("n_item", F.size("canon"))
+    items = written(items.where(F.size(F.filter("canon", is_slot)) * 2 <= F.col("n_item")), "items")
     sizes = [r[0] for r in items.select(F.least("n_item", F.lit(WINDOW))).distinct().collect()]  # at most WINDOW numbers
-    canon, raw = tokens(F.col(text_col))
-    rows = identified(docs).select(*ROW, F.col(id_col).alias("doc_id"), canon.alias("canon"), raw.alias("raw"))
+    canon, raw = form(F.col(text_col))
+    rows = docs.select(*ROW, F.col(id_col).alias("doc_id"), canon.alias("canon"), raw.alias("raw"))
     found = None
     for size in sizes:
         part = items.where(F.col("n_item") >= WINDOW if size == WINDOW else F.col("n_item") == size)
-        known = windows(part, size, "q").where(F.size(F.filter(F.slice("canon", F.col("q") + 1, F.lit(size)), is_slot)) * 2 <= size)
+        known = windows(part, size, "q").where(F.exists(F.slice("canon", F.col("q") + 1, F.lit(size)), lambda t: ~is_slot(t)))
         known = written(known.select("h", "item_id", "q"), "windows")
         if known.count() <= BROADCAST_ROWS:
             known = F.broadcast(known)
@@ -79,22 +105,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         hits = hits.select(*ROW, "doc_id", "item_id", (F.col("at") - F.col("q")).alias("offset"), "q", F.slice("raw", F.col("at") + 1, F.lit(size)).alias("seen"))
         found = hits if found is None else found.union(hits)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "_q_file long, _q_row long, doc_id long, item_id long, n_covered int, n_item int, changed boolean")
+        return None
     by_place = found.groupBy(*ROW, "doc_id", "item_id", "offset").agg(F.collect_list(F.struct("q", "seen")).alias("w"))
     places = F.array_distinct(F.flatten(F.transform("w", lambda x: F.transform(x["seen"], lambda t, k: F.struct((x["q"] + k).alias("i"), F.lower(t).alias("t"))))))
-    df = by_place.select(*ROW, "doc_id", "item_id", places.alias("places")).join(items, "item_id")
-    df = df.withColumn("n_covered", F.size("places")).where(F.col("n_covered") >= coverage * F.col("n_item"))
-    slots = F.filter("places", lambda p: is_slot(F.get("canon", p["i"])))
-    pairs = F.array_distinct(F.transform(slots, lambda p: F.struct(F.lower(F.get("item_raw", p["i"])).alias("a"), p["t"].alias("b"))))
-    df = df.withColumn("pairs", pairs)
-    one = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs")
-    df = df.where(one("a") & one("b"))
-    return df.select(*ROW, "doc_id", "item_id", "n_covered", "n_item", F.exists("pairs", lambda p: p["a"] != p["b"]).alias("changed"))
+    alone = consistent(by_place.select(*ROW, "doc_id", "item_id", places.alias("places")).join(items, "item_id"), coverage)
+    return alone.withColumn("path", F.lit(LITERAL if form is literals else PLACE))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
+    """A row per place and path by which a document holds an item: the document's key (ROW) and
+    id, item_id, n_covered and n_item tokens, whether values differ (``changed``), and ``path``."""
+    keyed = identified(docs)
+    out = [x for form in (tokens, literals) if (x := matches(keyed, benchmark, form, id_col, text_col, coverage)) is not None]
+    if not out:
+        return docs.sparkSession.createDataFrame([], "_q_file long, _q_row long, doc_id long, item_id long, n_covered int, n_item int, changed boolean, path int")
+    return out[0].union(out[1]) if len(out) > 1 else out[0]
 
 
 def op8_template_decontamination(spark, sf_dir: str) -> DataFrame:
     df = leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return df.groupBy("doc_id", "item_id").agg(F.max("n_covered").cast("long").alias("n_covered"), F.max("n_item").cast("long").alias("n_item"), F.min("changed").alias("changed"))
+    first = df.groupBy("doc_id", "item_id", "path").agg(F.max("n_covered").cast("long").alias("n_covered"), F.max("n_item").cast("long").alias("n_item"), F.min("changed").alias("changed"))
+    figures = F.min_by(F.struct("n_covered", "n_item", "changed"), "path").alias("x")
+    return first.groupBy("doc_id", "item_id").agg(figures).select("doc_id", "item_id", "x.*")
 
 
 def clean_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

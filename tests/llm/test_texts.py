@@ -247,6 +247,26 @@ def test_leaks(table, spark, clash):
     assert decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def held(table, spark):
+    """The pairs of document and item, and whether values differ at the first path's places."""
+
+    def find(items, texts):
+        bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+        found = {}
+        for r in decontaminate.leaks(table(rows(texts)), bench).collect():
+            found.setdefault((r.doc_id, r.item_id), []).append((r.n_covered, r.n_item, r.changed))
+        return found
+
+    return find
+
+
+def test_verbatim_copies(held):
+    sums, short = "Compute 17 + 25 * 3 - 48 / 6 + 91 * 2 - 14", "What is the capital of France?"
+    got = held([sums, short, ITEM], [f"so {sums} ok", f"see 3) {short}", ITEM.upper(), ITEM.lower(), "Compute 1 + 2 * 3 - 4 / 5 + 6 * 7 - 8", "what is it of France"])
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 2)}
+
+
 # --- 4
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1><nav><a href=x>Home</a></nav></header>
