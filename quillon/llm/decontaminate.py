@@ -1,14 +1,16 @@
 r"""Benchmark decontamination by template and literal windows, in DataFrame functions only.
 
 A token is a run of letters and digits.  A token that begins with a digit becomes a
-number slot; a unit after a number a unit slot; a capitalised token that goes on a
-sentence a name slot; all others are lower-cased.  Windows of ``WINDOW`` such tokens
-(the whole item if it is shorter) are hashed and joined with the documents' windows.
-Matches are put together by document, item and offset.  A document holds an item if
-at least ``COVERAGE`` of the item's tokens are covered and the slots are consistent:
-each value in the item stands for one value in the document throughout, and the other
-way round.  So a question with other numbers or names is caught, and one that merely
-uses the same phrases is not.  An item that is mostly slots is no template.
+number slot, a whole number with its separators one; a unit after a number a unit slot;
+a capitalised token that goes on a sentence a name slot, a run of them one; all others
+are lower-cased.  Windows of ``WINDOW`` such tokens (the whole item if it is shorter)
+are hashed and joined with the documents' windows.  Matches are put together by
+document, item and offset, and those at near offsets once more, for what was put in or
+left out between them.  A document holds an item if at least ``COVERAGE`` of the item's
+tokens are covered and the slots are consistent: each value in the item stands for one
+value of its type in the document throughout.  So a question with other numbers or names
+is caught, and one that merely uses the same phrases is not.  An item that is mostly
+slots is no template.
 
 Every item is also looked for word for word, by windows of lower-cased tokens without
 slots, and held at the same coverage.
@@ -22,7 +24,7 @@ empty tables give an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ROW, identified, named, written
@@ -34,23 +36,28 @@ NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"  # private use: in no token
 TOKEN, BREAK = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
 #: At most three characters, none of which ends a sentence, between a name and the token before.
 GAP = r"[^\p{L}\p{N}.!?:;\n]{1,3}"
-TOKENS = rf"[\p{{L}}\p{{N}}{NAME}-{UNIT}]+"
+GLUE = "\ue004"  # within a token
+#: A separator within a number: of three digits, before decimals, or a comma that isn't a list's.
+SEPARATOR = r"\.(?<=\p{N}.)(?=\p{N})|,(?<=\p{N}.)(?=\p{N}{3}(?!\p{N}))|,(?<=\p{N}.)(?<!,\p{N}{1,9}.)(?=\p{N}+(?!,?\p{N}))"
 #: What the paths of a match are, the first of a pair of document and item counts.
-PLACE, LITERAL = 0, 1
+PLACE, PLACES, LITERAL = 0, 1, 2
 
 
 def cleaned(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "   ")
+    return F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT + GLUE, "    ")
 
 
 def tokens(text: Column) -> tuple[Column, Column]:
     """The canonical tokens and, place by place, the tokens as they are."""
-    clean = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "   ")
-    x = F.regexp_replace(clean, rf"\p{{Lu}}(?<={TOKEN}{GAP}.){TOKEN}*", NAME)
-    x = F.regexp_replace(x, rf"\p{{N}}(?<!{TOKEN}.){TOKEN}*", NUMBER)
+    own = rf"[\p{{L}}\p{{N}}{NAME}{GLUE}]"
+    marked = F.regexp_replace(cleaned(text), SEPARATOR, GLUE)
+    marked = F.regexp_replace(marked, rf"\p{{Lu}}(?<={TOKEN}{GAP}.)", f"{NAME}$0")
+    marked = F.regexp_replace(marked, rf"[ \t-](?={NAME})(?<={NAME}{TOKEN}{{1,40}}.)", GLUE)
+    x = F.regexp_replace(marked, rf"{NAME}{own}*", NAME)
+    x = F.regexp_replace(x, rf"\p{{N}}(?<!{own}.){own}*", NUMBER)
     x = F.regexp_replace(x, rf"({NUMBER}{BREAK}{{1,3}})(?:{'|'.join(UNITS)})(?!{TOKEN})", f"$1{UNIT}")
-    broken = rf"[^\p{{L}}\p{{N}}{NAME}-{UNIT}]+"
-    return F.array_remove(F.split(F.lower(x), broken), ""), F.array_remove(F.split(clean, broken), "")
+    broken = rf"[^\p{{L}}\p{{N}}{NAME}-{GLUE}]+"
+    return F.array_remove(F.split(F.lower(x), broken), ""), F.array_remove(F.split(marked, broken), "")
 
 
 def literals(text: Column) -> tuple[Column, Column]:
@@ -80,10 +87,9 @@ def consistent(df: DataFrame, coverage: float) -> DataFrame:
     """Of groups of ``places`` those that cover enough with one value for each of the item's."""
     df = df.withColumn("n_covered", F.size(F.array_distinct(F.transform("places", lambda p: p["i"])))).where(F.col("n_covered") >= coverage * F.col("n_item"))
     slots = F.filter("places", lambda p: is_slot(F.get("canon", p["i"])))
-    pairs = F.array_distinct(F.transform(slots, lambda p: F.struct(F.lower(F.get("item_raw", p["i"])).alias("a"), p["t"].alias("b"))))
-    df = df.withColumn("pairs", pairs)
-    one = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs")
-    df = df.where(one("a") & one("b"))
+    pair = lambda p: F.struct(F.get("canon", p["i"]).alias("kind"), F.lower(F.get("item_raw", p["i"])).alias("a"), p["t"].alias("b"))
+    df = df.withColumn("pairs", F.array_distinct(F.transform(slots, pair)))
+    df = df.where(F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["a"])))) == F.size("pairs"))
     return df.select(*ROW, "doc_id", "item_id", "n_covered", "n_item", F.exists("pairs", lambda p: p["a"] != p["b"]).alias("changed"))
 
 
@@ -108,8 +114,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, form, id_col: str, text_col:
         return None
     by_place = found.groupBy(*ROW, "doc_id", "item_id", "offset").agg(F.collect_list(F.struct("q", "seen")).alias("w"))
     places = F.array_distinct(F.flatten(F.transform("w", lambda x: F.transform(x["seen"], lambda t, k: F.struct((x["q"] + k).alias("i"), F.lower(t).alias("t"))))))
-    alone = consistent(by_place.select(*ROW, "doc_id", "item_id", places.alias("places")).join(items, "item_id"), coverage)
-    return alone.withColumn("path", F.lit(LITERAL if form is literals else PLACE))
+    by_place = written(by_place.select(*ROW, "doc_id", "item_id", "offset", places.alias("places")), "places")
+    alone = consistent(by_place.join(items, "item_id"), coverage)
+    # Offsets less than half an item apart are one copy's; a copy's neighbour begins after its end.
+    order = Window.partitionBy(*ROW, "doc_id", "item_id").orderBy("offset")
+    near = by_place.join(items.select("item_id", "n_item").distinct(), "item_id")
+    near = near.withColumn("new", F.coalesce((F.col("offset") - F.lag("offset").over(order)) * 2 >= F.col("n_item"), F.lit(True)).cast("int"))
+    near = near.withColumn("copy", F.sum("new").over(order)).groupBy(*ROW, "doc_id", "item_id", "copy")
+    near = near.agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.count("*").alias("n")).where("n > 1")
+    several = consistent(near.join(items, "item_id"), coverage)
+    if form is literals:
+        return alone.union(several).withColumn("path", F.lit(LITERAL))
+    return alone.withColumn("path", F.lit(PLACE)).union(several.withColumn("path", F.lit(PLACES)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:

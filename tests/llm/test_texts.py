@@ -267,6 +267,20 @@ def test_verbatim_copies(held):
     assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 2)}
 
 
+def test_other_values(held):
+    eggs = "A farmer has 12 eggs for 5 dollars and sells 8 hens for 30 dollars to the man who lives near the old town"
+    cow = "A farmer has 12 eggs and pays 5 for each hen and then 30 for a cow when Bob comes to town with Ann"
+    texts = [
+        eggs.replace("8", "5").replace("12", "5"), cow.replace("12", "1,200").replace("5", "5.50").replace("30", "30.25"),
+        cow.replace("Bob", "Mary Jane").replace("Ann", "Tom Brown"), cow.replace(" hen ", " big hen ").replace(" cow ", " brown cow "),
+        "A farmer has 5 dollars", cow + " " + cow.replace("12", "13").replace("Bob", "Tom"),
+    ]
+    got = held([eggs, cow], texts)
+    assert set(got) == {(0, 0), (1, 1), (2, 1), (3, 1), (5, 1)}
+    assert all(max(got[k])[0] == max(got[k])[1] for k in [(0, 0), (1, 1), (2, 1), (5, 1)])
+    assert held(["He has 7 eggs, 7 hens and 7 cows to sell in the town"], ["He has 8 eggs, 9 hens and 10 cows to sell in the town"]) == {}
+
+
 # --- 4
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1><nav><a href=x>Home</a></nav></header>
