@@ -7,8 +7,9 @@ adverts, forms, scripts, reader comments; by tag, role, or a word of the class o
 are set apart.  Over the other blocks the ratio of text to tags is smoothed by a
 Gaussian, and blocks above a share of its standard deviation form the content
 clusters.  The page's text is every block of the region that holds them: the articles
-or main element they lie in or, without such, the smallest element that holds nearly
-all of their text, where blocks that are mostly links outside of clusters go.
+or main element they lie in if these hold most of their text or else the smallest
+container (no paragraph, list item, heading or inline element) that holds all clusters
+but links, where blocks that are mostly links outside of clusters go.
 
 Character references are decoded, white space within a block becomes one space, and
 blocks are joined by a line feed; nothing is capped.  Null or empty html, and pages
@@ -48,9 +49,10 @@ WORDS = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REGIONS = frozenset(["article", "main"])
+CONTAINERS = BLOCK - HEADINGS - frozenset("address br caption dd dt figcaption hr legend li option p pre summary title".split())
 CELLS = frozenset(["td", "th"])
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-SIGMA, DEVIATIONS, SHARE = 1.0, 0.5, 0.9
+SIGMA, DEVIATIONS = 1.0, 0.5
 
 
 @dataclass
@@ -156,7 +158,7 @@ class Blocks(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             region, apart = self.stack[-1][2:4] if self.stack else (0, False)
-            self.blocks.append(Block(text, self.tags, self.linked, tuple(x[1] for x in self.stack), region, apart))
+            self.blocks.append(Block(text, self.tags, self.linked, tuple(x[1] for x in self.stack if x[0] in CONTAINERS), region, apart))
             self.tags = 0
         self.parts, self.linked = [], 0
 
@@ -180,21 +182,16 @@ def chosen(blocks: list[Block]) -> list[str]:
     if not blocks:
         return []
     inside = content(blocks)
+    linked = lambda b: 2 * b.linked > len(b.text)
     size: dict[int, int] = {}
     for b, x in zip(blocks, inside, strict=True):
         if x and b.region:
             size[b.region] = size.get(b.region, 0) + len(b.text)
-    outside = sum(len(b.text) for b, x in zip(blocks, inside, strict=True) if x and not b.region and 2 * b.linked <= len(b.text))
-    if size and 2 * sum(size.values()) >= outside:
+    cluster = [b for b, x in zip(blocks, inside, strict=True) if x and not linked(b)]
+    if size and sum(size.values()) >= sum(len(b.text) for b in cluster if not b.region):
         return [b.text for b in blocks if b.region in size]
-    held: dict[int, int] = {}
-    for b, x in zip(blocks, inside, strict=True):
-        if x:
-            for k in b.path:
-                held[k] = held.get(k, 0) + len(b.text)
-    total = sum(len(b.text) for b, x in zip(blocks, inside, strict=True) if x)
-    holder = max((k for k, n in held.items() if n >= SHARE * total), default=None)
-    linked = lambda b: 2 * b.linked > len(b.text)
+    shared = set.intersection(*(set(b.path) for b in cluster)) if cluster else set()
+    holder = max(shared, default=None)
     return [b.text for b, x in zip(blocks, inside, strict=True) if (holder is None or holder in b.path) and not (linked(b) and not x)]
 
 

@@ -300,6 +300,14 @@ def test_odd_pages(table):
     assert (got[1], got[2], got[3], got[4]) == ("", "", "plain & simple", "a\nc") and len(got[6]) == 20000 * 5 - 1
 
 
+def test_holder_keeps_all_paragraphs():
+    a, b, c = (" ".join([w] * n) for w, n in (("one", 12), ("two", 12), ("three", 330)))
+    assert html.main_text(f"<body><div><h2>Head</h2><p>{a}</p><p>{b}</p><p>{c}</p></div></body>") == f"Head\n{a}\n{b}\n{c}"
+    assert html.main_text(f"<body><div class=intro><p>{b}</p></div><div><p>{c}</p></div></body>") == f"{b}\n{c}"
+    teaser, body = " ".join(["teaser"] * 70), " ".join(["body"] * 180)
+    assert body in html.main_text(f"<body><article><p>{teaser}</p></article><div><p>{body}</p></div></body>")
+
+
 # --- 9
 
 
