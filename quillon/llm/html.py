@@ -3,8 +3,11 @@
 The standard library's streaming parser gives events; a block is the text between
 two block-level tags (or line breaks), with the number of tags met in it.  Blocks in
 elements that are never article text (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, reader comments; by tag, role, or a word of the class or id)
-are set apart.  Over the other blocks the ratio of text to tags is smoothed by a
+adverts, forms, scripts, reader comments; by tag, role, or a name in the class or id
+that means such) are set apart, but neither a form nor an element with such a role or
+name if it holds most of the page's text without links and comments, and four times
+that of the articles beside it.  If the names leave less than a quarter of the text that
+is found without them, they don't count; those of comments if nothing is left.  Over the other blocks the ratio of text to tags is smoothed by a
 Gaussian, and blocks above a share of its standard deviation form the content
 clusters.  The page's text is every block of the region that holds them: the articles
 or main element they lie in if these hold most of their text or else the smallest
@@ -36,21 +39,29 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody tfoot thead title tr ul".split()
 )
 NEVER = frozenset(
-    "applet aside audio button canvas datalist dialog embed footer form frameset head iframe input label math menu meter nav noframes "
+    "annotation annotation-xml applet aside audio button canvas datalist dialog embed footer frameset head iframe input label menu meter nav noframes "
     "noscript object optgroup option progress script search select style svg template textarea title video".split()
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
-#: Words of a class or id.
+#: Words of a name in a class or id; the name's other words have to be QUALIFIERS.
 WORDS = frozenset(
     "ad ads adsense advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination "
     "popup promo promotion promotions related replies reply respond search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription toolbar widget widgets".split()
 )
+COMMENTS = frozenset("comment comments disqus replies reply respond".split())
+QUALIFIERS = frozenset(
+    "area article bar block blog bottom box btn button buttons container fixed footer form global header home icons inner item items left link links list main message mobile "
+    "page panel popup post primary right secondary section site slot sticky text top unit web wrap wrapper zone x".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REGIONS = frozenset(["article", "main"])
 CONTAINERS = BLOCK - HEADINGS - frozenset("address br caption dd dt figcaption hr legend li option p pre summary title".split())
 CELLS = frozenset(["td", "th"])
+KEPT, SOFT, HARD = 0, 1, 2
+#: Names that leave less than one part in this many of the text don't count.
+LEAST_PART = 4
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SIGMA, DEVIATIONS = 1.0, 0.5
 
@@ -65,33 +76,55 @@ class Block:
     apart: bool
 
 
+@dataclass
+class Open:
+    """An open element; ``hard``: its text is never counted, ``start``: the volume before it."""
+
+    tag: str
+    number: int
+    region: int
+    apart: bool
+    header: bool
+    hard: bool
+    soft: bool
+    start: int
+
+
 class Blocks(HTMLParser):
-    """Collects the blocks of a page."""
+    """Collects the blocks of a page; ``lifted`` elements aren't set apart."""
 
-    def __init__(self, words: frozenset[str] = WORDS):
+    def __init__(self, words: frozenset[str] = WORDS, lifted: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
-        self.words = words
-        self.stack: list[tuple[str, int, int, bool, bool]] = []  # tag, number, region, apart, in the header of a region
+        self.words, self.lifted = words, lifted
+        self.stack: list[Open] = []
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.number = self.tags = self.linked = self.links = 0
+        self.volume = self.regions = 0  # characters outside of links and what is never text, and those in regions
+        self.held: dict[int, int] = {}  # of each soft element
+
+    def named(self, name: str) -> bool:
+        """Whether a name of a class or id means something that isn't the article."""
+        found = {x.lower() for x in WORD.findall(name)}
+        return not self.words.isdisjoint(found) and found <= self.words | QUALIFIERS
 
-    def apart(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def apart(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
         if tag in NEVER:
-            return True
+            return HARD
+        kind = SOFT if tag == "form" else KEPT
         for key, value in attrs:
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in (value or "").replace(" ", ""):
-                return True
+                return HARD
             if key == "role" and value in ROLES:
-                return True
+                kind = max(kind, SOFT)
             if key in ("class", "id") and value and tag not in ("html", "body", "main"):
-                names = value.lower().split()
-                if tag in REGIONS:
-                    if not self.words.isdisjoint(names):
-                        return True
-                elif not self.words.isdisjoint(x.lower() for x in WORD.findall(value)):
-                    return True
-        return False
+                names = value.split()
+                found = [x for x in names if (x.lower() in self.words if tag in REGIONS else self.named(x))]
+                if any(not COMMENTS.isdisjoint(y.lower() for y in WORD.findall(x)) for x in found):
+                    return HARD
+                if found:
+                    kind = max(kind, SOFT)
+        return kind
 
     def handle_starttag(self, tag, attrs):
         if tag == "p" or tag == "li":
@@ -104,22 +137,26 @@ class Blocks(HTMLParser):
         if tag in VOID:
             return
         self.number += 1
-        _, _, region, apart, header = self.stack[-1] if self.stack else ("", 0, 0, False, False)
+        up = self.stack[-1] if self.stack else Open("", 0, 0, False, False, False, False, 0)
+        region, apart, header, hard = up.region, up.apart, up.header, up.hard
         if tag in REGIONS and not apart and not region:
             region = self.number
+        soft = False
         if tag == "header":  # of an article's own header the headings stay
-            apart, header = True, region > 0 and not apart
+            apart, header, hard = True, region > 0 and not apart, hard or not region
         elif header and tag in HEADINGS:
             apart, header = False, False
-        elif not apart:
-            apart = self.apart(tag, attrs)
-        self.stack.append((tag, self.number, region, apart, header))
+        elif not hard:
+            kind = self.apart(tag, attrs)
+            soft, hard = kind == SOFT, kind == HARD
+            apart = apart or hard or soft and self.number not in self.lifted
+        self.stack.append(Open(tag, self.number, region, apart, header, hard, soft, self.volume))
         self.links += tag == "a"
 
     def close_implied(self, tag: str) -> None:
         """An open paragraph or list item ends where the next begins, in the same block."""
         for i in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[i][0]
+            name = self.stack[i].tag
             if name == tag:
                 self.flush()
                 self.pop_to(i)
@@ -128,7 +165,10 @@ class Blocks(HTMLParser):
                 return
 
     def pop_to(self, i: int) -> None:
-        self.links -= sum(x[0] == "a" for x in self.stack[i:])
+        for x in self.stack[i:]:
+            self.links -= x.tag == "a"
+            if x.soft:
+                self.held[x.number] = self.volume - x.start
         del self.stack[i:]
 
     def handle_startendtag(self, tag, attrs):
@@ -141,14 +181,18 @@ class Blocks(HTMLParser):
             self.flush()
         self.tags += 1
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                if tag not in BLOCK and any(x[0] in BLOCK for x in self.stack[i + 1 :]):
+            if self.stack[i].tag == tag:
+                if tag not in BLOCK and any(x.tag in BLOCK for x in self.stack[i + 1 :]):
                     return  # an inline element doesn't close the blocks begun in it
                 self.pop_to(i)
                 return
 
     def handle_data(self, data):
-        if self.stack and self.stack[-1][3]:
+        if not self.links and not (self.stack and self.stack[-1].hard):
+            self.volume += len(data.strip())
+            if self.stack and self.stack[-1].region and not self.stack[-1].apart:
+                self.regions += len(data.strip())
+        if self.stack and self.stack[-1].apart:
             return  # also of a script or an advert within a line
         self.parts.append(data)
         if self.links:
@@ -157,8 +201,8 @@ class Blocks(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            region, apart = self.stack[-1][2:4] if self.stack else (0, False)
-            self.blocks.append(Block(text, self.tags, self.linked, tuple(x[1] for x in self.stack if x[0] in CONTAINERS), region, apart))
+            region, apart = (self.stack[-1].region, self.stack[-1].apart) if self.stack else (0, False)
+            self.blocks.append(Block(text, self.tags, self.linked, tuple(x.number for x in self.stack if x.tag in CONTAINERS), region, apart))
             self.tags = 0
         self.parts, self.linked = [], 0
 
@@ -195,16 +239,29 @@ def chosen(blocks: list[Block]) -> list[str]:
     return [b.text for b, x in zip(blocks, inside, strict=True) if (holder is None or holder in b.path) and not (linked(b) and not x)]
 
 
+def parsed(html: str, words: frozenset[str], lifted: frozenset[int] = frozenset()) -> Blocks:
+    parser = Blocks(words, lifted)
+    parser.feed(html)
+    parser.close()
+    parser.flush()
+    parser.pop_to(0)
+    return parser
+
+
+def found(html: str, words: frozenset[str]) -> str:
+    """The text where elements named by these words are set apart."""
+    parser = parsed(html, words)
+    if lifted := frozenset(k for k, n in parser.held.items() if 2 * n > parser.volume and n > LEAST_PART * parser.regions):
+        parser = parsed(html, words, lifted)
+    return "\n".join(chosen(parser.blocks))
+
+
 def main_text(html: str) -> str:
     """The article's blocks, joined by line feeds."""
-    for words in (WORDS, frozenset()):  # without the words if they set all of the page apart
-        parser = Blocks(words)
-        parser.feed(html)
-        parser.close()
-        parser.flush()
-        if found := chosen(parser.blocks):
-            return "\n".join(found)
-    return ""
+    text = found(html, WORDS)
+    if LEAST_PART * len(text) < len(html) and LEAST_PART * len(text) < len(other := found(html, COMMENTS)):
+        text = other
+    return text or found(html, frozenset())
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -308,6 +308,19 @@ def test_holder_keeps_all_paragraphs():
     assert body in html.main_text(f"<body><article><p>{teaser}</p></article><div><p>{body}</p></div></body>")
 
 
+def test_articles_aren_t_set_apart():
+    body = "\n".join(" ".join([w] * 60) for w in ("one", "two", "three"))
+    inner = "".join(f"<p>{line}</p>" for line in body.split("\n"))
+    for name in ("content has-sidebar", "no-sidebar", "share-enabled", "elementor-widget-container", "widget"):
+        assert html.main_text(PAGE % f"<div class='{name}'>{inner}</div>") == body
+    assert html.main_text(f"<body><form action=x><input name=y><label>Label</label>{inner}</form></body>") == body
+    parts = "".join(f"<div class=widget><p>{line}</p></div>" for line in body.split("\n"))
+    assert html.main_text(f"<body><h1>Left over</h1>{parts}</body>") == "Left over\n" + body
+    assert "x = 2" in html.main_text(f"<article><p>Here is <math><mi>x</mi> = <mn>2</mn></math></p>{inner}</article>")
+    apart = "".join(f"<div class='{c}'><p>{'noise ' * 30}</p></div>" for c in ("site-footer", "cookie-notice", "main-nav", "postComments"))
+    assert html.main_text(f"<body>{apart}<div>{inner}</div><div class=comments>{'<p>' + 'said ' * 900}</div></body>") == body
+
+
 # --- 9
 
 
