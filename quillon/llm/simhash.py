@@ -36,14 +36,11 @@ BUCKET_VARIANTS, CHUNK = 1_000_000, 65_536
 PASS_MASKS = (0xAAAAAAAAAAAAAAAA, 0xCCCCCCCCCCCCCCCC, 0xF0F0F0F0F0F0F0F0)
 
 
-def bit_counts(text: str, size: int, hashes: int = 1) -> tuple[int, np.ndarray]:
-    """The number of shingles, and how many of them set each of 64 * hashes bits.
-
-    Further hashes are a mix of the first, as good as independent."""
+def shingles(text: str, size: int):
+    """Hashes of the text's shingles, in order, by chunks."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    ones = np.zeros(64 * hashes, np.int64)
     if not words:
-        return 0, ones
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -52,19 +49,37 @@ def bit_counts(text: str, size: int, hashes: int = 1) -> tuple[int, np.ndarray]:
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, CHUNK):
         pairs = zip(starts[at : min(n, at + CHUNK)].tolist(), stops[at : at + CHUNK].tolist(), strict=True)
-        h = np.array([digest(joined[a:b], SEED) for a, b in pairs], "<u8")
+        yield np.array([digest(joined[a:b], SEED) for a, b in pairs], "<u8")
+
+
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """The hashes of the different shingles, in order of size."""
+    return np.unique(np.concatenate([np.empty(0, "<u8"), *shingles(text, size)]))
+
+
+def bit_counts(chunks, hashes: int = 1) -> tuple[int, np.ndarray]:
+    """The number of shingles, and how many of them set each of 64 * hashes bits.
+
+    Further hashes are a mix of the first, as good as independent."""
+    n, ones = 0, np.zeros(64 * hashes, np.int64)
+    for h in chunks:
+        n += len(h)
         for k in range(hashes):
             x = mixed(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) if k else h
             ones[64 * k : 64 * k + 64] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return n, ones
 
 
-def fingerprint(text: str, size: int, hashes: int = 1) -> np.ndarray:
+def majority(chunks, hashes: int) -> np.ndarray:
     """64 bits a hash; a bit is set if over half of the shingles' hashes have it."""
-    n, ones = bit_counts(text, size, hashes)
+    n, ones = bit_counts(chunks, hashes)
     return np.packbits(2 * ones > n, bitorder="little").view("<u8") if n else np.zeros(hashes, np.uint64)
 
 
+def fingerprint(text: str, size: int, hashes: int = 1) -> np.ndarray:
+    return majority(shingles(text, size), hashes)
+
+
 def fingerprints(docs: DataFrame, size: int, hashes: int = 1, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ``keys`` (longs) and fp, fp1, ... (the bits as signed longs) of every text."""
     names = ["fp", *(f"fp{k}" for k in range(1, hashes))]
@@ -179,15 +194,17 @@ def op10_simhash_balls(spark, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near-duplicates by similarity: six hashes give SKETCH bits; of these each table takes SHORT
-#: bits as a fingerprint of its own.  Two texts with a similarity of 0.8 differ in a share
-#: of about 0.15 of the bits; in 24 tables, nineteen pairs in twenty of those have one with two or fewer
-#: differing bits, and pairs of unrelated texts hardly ever.
-STAGE_WORDS, HASHES, TABLES, SHORT, SHORT_RADIUS, TABLES_A_PASS, TABLE_BUCKET = 5, 6, 24, 32, 2, 3, 100_000
-SKETCH = 64 * HASHES
-#: At most this share of differing bits: acos(2 s / (1 + s)) / pi for a similarity s of 0.8 is 0.151, and
-#: over one and a half deviations of the estimate more, so that few pairs of that similarity are lost.
-MOST_DIFFERENT = 0.18
+#: Near-duplicates by similarity, the share of different shingles that two texts have in common.
+#: Six hashes give SKETCH bits; of these each table takes SHORT bits as a fingerprint of its own.
+#: Two texts with a similarity of 0.8 differ in a share of acos(2 s / (1 + s)) / pi = 0.151 of the
+#: bits; of those pairs 12 in 100 have two or fewer differing bits in a table, and nearly all have in
+#: one of 60, unrelated texts hardly ever.
+STAGE_WORDS, HASHES, TABLES, SHORT, SHORT_RADIUS, TABLES_A_PASS, TABLE_BUCKET = 5, 6, 60, 32, 2, 4, 100_000
+SKETCH, SIMILARITY = 64 * HASHES, 0.8
+#: Pairs that differ in a larger share of bits aren't compared: five deviations above 0.151.
+MOST_DIFFERENT = 0.25
+#: Of a group that meets, all are linked to one another up to FEW, and to CENTRES of them beyond.
+FEW, CENTRES = 8, 4
 
 
 def table_bits(table: int) -> np.ndarray:
@@ -197,6 +214,12 @@ def table_bits(table: int) -> np.ndarray:
     return rank[at : at + SHORT]
 
 
+def start_and_size(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run of equal keys."""
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return start, np.diff(np.append(start, len(keys)))
+
+
 def met_tables(sketches: DataFrame, n: int) -> DataFrame:
     """Links (u, v) between ids whose short fingerprints meet at a variant in some table."""
     spark, names = sketches.sparkSession, [c for c in sketches.columns if c.startswith("fp")]
@@ -236,17 +259,25 @@ def met_tables(sketches: DataFrame, n: int) -> DataFrame:
         who = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table["ids"]])
         order = np.argsort(keys)
         keys, who = keys[order], who[order]
-        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-        size = np.diff(np.append(start, len(keys)))
+        start, size = start_and_size(keys)
         many = np.repeat(size > 1, size)
         keys, who = keys[many], who[many]
-        # Of those that meet, another one each time is the centre that the others are linked to.
-        rank = mixed(who.view(np.uint64) ^ mixed(keys))
-        order = np.lexsort((rank, keys))
-        keys, who = keys[order], who[order]
-        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-        centre = np.repeat(who[start], np.diff(np.append(start, len(keys)))) if len(keys) else who
-        pairs = np.unique(np.stack([np.minimum(who, centre), np.maximum(who, centre)], 1)[who != centre], axis=0)
+        # The centres are the least by some hashes of the id: mostly the same ones in every group of a class.
+        pairs = [np.empty((0, 2), np.int64)]
+        start, size = start_and_size(keys)
+        small = np.repeat(size <= FEW, size)
+        for step in range(1, FEW):
+            near = np.flatnonzero((keys[step:] == keys[:-step]) & small[step:]) if len(keys) > step else np.empty(0, np.int64)
+            pairs.append(np.stack([who[near], who[near + step]], 1))
+        keys, who = keys[~small], who[~small]
+        for k in range(CENTRES):
+            rank = mixed(who.view(np.uint64) + np.uint64(k + 1))
+            order = np.lexsort((rank, keys))
+            keys, who = keys[order], who[order]
+            start, size = start_and_size(keys)
+            pairs.append(np.stack([who, np.repeat(who[start], size)], 1))
+        pairs = np.sort(np.concatenate(pairs), axis=1)
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
         return pa.table({"u": pa.array(pairs[:, 0].copy()), "v": pa.array(pairs[:, 1].copy())})
 
     for at in range(0, TABLES, TABLES_A_PASS):
@@ -257,19 +288,64 @@ def met_tables(sketches: DataFrame, n: int) -> DataFrame:
     return spark.read.parquet(path).select("u", "v").distinct()
 
 
-def near_classes(docs: DataFrame, size: int = STAGE_WORDS, most: float = MOST_DIFFERENT) -> DataFrame:
+def sketched(docs: DataFrame, size: int) -> DataFrame:
+    """Row key, doc_id, ``id`` (a digest of the set of shingles) and the sketch of that set."""
+    names = ["fp", *(f"fp{k}" for k in range(1, HASHES))]
+
+    def run(batches):
+        for batch in batches:
+            *own, texts = zip(*rows_of([batch]), strict=True) if batch.num_rows else [()] * (len(ROW) + 2)
+            sets = (shingle_set(t, size) for t in texts)
+            out = [(xxhash.xxh64_intdigest(x.tobytes(), SEED), majority([x], HASHES)) for x in sets]
+            ids = np.array([x for x, _ in out], np.uint64).view(np.int64)
+            fps = np.array([x for _, x in out], np.uint64).reshape(-1, HASHES).view(np.int64)
+            columns = [*(pa.array(c, pa.int64()) for c in own), pa.array(ids), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(HASHES))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*ROW, "doc_id", "id", *names])
+
+    df = docs.select(*ROW, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return df.mapInArrow(run, ", ".join(f"{c} long" for c in [*ROW, "doc_id", "id", *names]))
+
+
+def similar(links: DataFrame, docs: DataFrame, firsts: DataFrame, size: int, least: float) -> DataFrame:
+    """The links (u, v) whose sets of shingles have ``least`` of their shingles in common.
+
+    ``firsts``: id and row key of one text of each set."""
+
+    def to_sets(batches):
+        for batch in batches:
+            out = [(i, shingle_set(t, size).tobytes()) for i, t in rows_of([batch])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["id", "s"])
+
+    def verified(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+                a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(a) + len(b) - len(np.union1d(a, b)) if min(len(a), len(b)) >= least * max(len(a), len(b)) else 0
+                keep.append(both >= least * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    needed = links.select(F.col("u").alias("id")).union(links.select("v")).distinct()
+    texts = docs.select(*ROW, F.coalesce("text", F.lit("")).alias("text")).join(firsts.join(needed, "id"), ROW).select("id", "text")
+    sets = written(texts.mapInArrow(to_sets, "id long, s binary"), "sets")
+    side = lambda x, y: sets.select(F.col("id").alias(x), F.col("s").alias(y))
+    return links.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(verified, "u long, v long")
+
+
+def near_classes(docs: DataFrame, size: int = STAGE_WORDS, least: float = SIMILARITY) -> DataFrame:
     """Row key, doc_id and class (``root``) of every row; classes are the connected components
-    of texts whose sketches differ in a share of ``most`` bits at most."""
+    of texts with a similarity of ``least`` or more, which is verified on the shingles."""
     names = ["fp", *(f"fp{k}" for k in range(1, HASHES))]
-    rows = written(fingerprints(identified(docs), size, HASHES, keys=tuple(ROW)), "sketches")
-    distinct = written(rows.groupBy(*names).agg(F.min(F.struct("doc_id", *ROW)).alias("least")).withColumn("id", F.xxhash64(*names)), "distinct")
+    docs = identified(docs)
+    rows = written(sketched(docs, size), "sketches")
+    distinct = written(rows.groupBy("id", *names).agg(F.min(F.struct(*ROW)).alias("first")), "distinct")
     links = written(met_tables(distinct, distinct.count()), "candidates")
     side = lambda x: distinct.select(F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in names))
     apart = sum((F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) for c in names), F.lit(0))
-    near = links.join(side("u"), "u").join(side("v"), "v").where(apart <= int(most * SKETCH)).select("u", "v")
-    roots = components(near)
-    of_id = distinct.join(roots.withColumnRenamed("u", "id"), "id", "left").select(*names, F.coalesce("root", "id").alias("root"))
-    return rows.join(written(of_id, "classes"), names).select(*ROW, "doc_id", "root")
+    near = written(links.join(side("u"), "u").join(side("v"), "v").where(apart <= int(MOST_DIFFERENT * SKETCH)).select("u", "v"), "near")
+    roots = components(similar(near, docs, distinct.select("id", "first.*"), size, least))
+    of_id = distinct.select("id").join(roots.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    return rows.join(written(of_id, "classes"), "id").select(*ROW, "doc_id", "root")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

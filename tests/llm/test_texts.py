@@ -179,6 +179,23 @@ def test_one_of_each_keeps_clean_documents(table, clash):
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [0, 1, 3]
 
 
+def test_near_duplicates_are_similar(table):
+    rnd = random.Random(3)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    texts = []
+    for k in range(240):
+        text = [word() for _ in range(404)]
+        # One run of n other words changes n + 4 of 400 shingles: 44 leave a similarity of 0.802, 58 of 0.732.
+        n = 40 if k < 160 else 54
+        texts += [" ".join(text), " ".join([*text[:100], *(word() for _ in range(n)), *text[100 + n :]])]
+    root = {r.doc_id: r.root for r in simhash.near_classes(table(rows(texts))).collect()}
+    joined = [root[2 * k] == root[2 * k + 1] for k in range(240)]
+    assert sum(joined[:160]) >= 157 and not any(joined[160:])
+    # A line that is repeated over and over doesn't make different texts alike.
+    line = "all rights are reserved here " * 200
+    assert len({r.root for r in simhash.near_classes(table(rows([line + t for t in texts[:40:2]]))).collect()}) == 20
+
+
 def test_simhash_of_an_empty_table(table):
     assert simhash.classes(simhash.fingerprints(table([]), 4)).count() == 0
     assert simhash.one_of_each(table([])).count() == 0
