@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -123,6 +125,52 @@ class ProductQuantizer:
             total = total + F.get(table, F.get(code, F.lit(p)))
         return F.sqrt(total)
 
+    def search(self, df: DataFrame, queries: DataFrame, k: int, shortlist: int, id_col: str = "id", block: int = 512) -> DataFrame:
+        """query_id, ``id_col`` and exact distance of the ``k`` nearest of each row of ``queries``.
+
+        Queries go in blocks, each a scan of the table; in every batch the ``shortlist`` nearest
+        by code are ranked by their vectors, and batches' results are ranked again."""
+        books, width, vec_col = [np.array(b) for b in self.books], self.width, self.vec_col
+
+        def scan(ids: list[int], vectors: np.ndarray):
+            def run(batches):
+                for batch in batches:
+                    if not batch.num_rows:
+                        continue
+                    own = batch.column(0).to_numpy()
+                    x = batch.column(1).flatten().to_numpy().reshape(len(own), -1)
+                    far = np.zeros((len(ids), len(own)))
+                    for p, book in enumerate(books):
+                        part = x[:, p * width : (p + 1) * width]
+                        code = ((book**2).sum(1) - 2 * part @ book.T).argmin(1)
+                        far += ((vectors[:, None, p * width : (p + 1) * width] - book) ** 2).sum(2)[:, code]
+                    m = min(shortlist, len(own))
+                    near = np.argpartition(far, m - 1, axis=1)[:, :m]
+                    out = []
+                    for q, some in enumerate(near):
+                        d = np.sqrt(((x[some] - vectors[q]) ** 2).sum(1))
+                        best = np.lexsort((own[some], d))[:k]
+                        out.append((np.full(len(best), ids[q]), own[some][best], d[best]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", id_col, "distance"])
+
+            return run
+
+        rows = df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col).cast("array<double>").alias("v"))
+        asked, found, waiting = queries.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")), None, []
+
+        def add():
+            some = rows.mapInArrow(scan([r[0] for r in waiting], np.array([r[1] for r in waiting])), f"query_id long, {id_col} long, distance double")
+            return some if found is None else found.union(some)
+
+        for r in asked.toLocalIterator():
+            waiting.append(r)
+            if len(waiting) == block:
+                found, waiting = add(), []
+        if waiting or found is None:
+            found = add() if waiting else rows.limit(0).selectExpr(f"{id_col} AS query_id", id_col, "0D AS distance")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col))
+        return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+
 
 # --- fusion ----------------------------------------------------------------------
 

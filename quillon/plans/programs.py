@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -214,8 +216,9 @@ def knn_ivf(spark, sf_dir):
 @query()
 def knn_quantized(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings")
-    pq = search.ProductQuantizer(df, "embedding", parts=4, codes=8)
-    return pq.encode(df).select("vec_id", pq.distance(_query_vector(spark, sf_dir)).alias("distance")).orderBy("distance", "vec_id").limit(20)
+    n = df.count()
+    pq = search.ProductQuantizer(df, "embedding", parts=16, codes=max(8, min(256, math.isqrt(n))))
+    return pq.search(df, df.where("vec_id % 100 = 0"), 20, max(200, 4 * math.isqrt(n)), "vec_id")
 
 
 @query(

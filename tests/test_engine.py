@@ -1,5 +1,7 @@
 """The dialect, sources, graph, versions and streams on small tables."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +154,22 @@ def test_ann_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_registered_quantizer_recall(spark):
+    from quillon.plans import programs
+
+    dir = "/root/testdata/sf0.1"
+    got, df = {}, programs.table(spark, dir, "embeddings")
+    for r in programs.knn_quantized(spark, dir).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in df.collect()]
+    near = lambda q: {i for _, i in sorted((math.dist(q, v), i) for i, v in rows)[:20]}
+    asked = {i: near(v) for i, v in rows if i % 100 == 0}
+    assert got.keys() == asked.keys()
+    recall = sum(len(got[i] & x) for i, x in asked.items()) / sum(map(len, asked.values()))
+    print("recall", recall)
+    assert recall >= 0.9
+
+
 def test_hot_key_join(spark):
     left = spark.range(1000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
     right = spark.range(10).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
