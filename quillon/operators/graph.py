@@ -7,20 +7,12 @@ lost executors.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH, MAX_NODES = 32, 10_000
-
+from ..sources.shared import checkpointed as _kept
 
-def _kept(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quillon-checkpoints"))
-    return df.checkpoint()
+MAX_DEPTH, MAX_NODES = 32, 10_000
 
 
 def directed(edges: DataFrame, direction: str = "out", labels: list[str] | None = None, weights: tuple[float, float] | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed, written
+
 MAX_LEVELS, MAX_ROWS = 1000, 5_000_000
 
 
@@ -54,17 +56,10 @@ def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], max_level
     """WITH RECURSIVE on the last level's new rows; rows seen before are dropped, so cycles end.
 
     Each level is checkpointed where the session says, so plans stay short."""
-    spark = seed.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import os
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quillon-checkpoints"))
-    keep = lambda df: df.checkpoint()
-    everything = fresh = keep(seed)
+    everything = fresh = checkpointed(seed)
     total = fresh.count()
     for _ in range(max_levels):
-        fresh = keep(step(fresh).select(*seed.columns).distinct().subtract(everything))
+        fresh = checkpointed(step(fresh).toDF(*seed.columns).distinct().subtract(everything))
         n = fresh.count()
         if not n:
             return everything
@@ -114,8 +109,12 @@ def delete(df: DataFrame, where: Column) -> DataFrame:
 
 
 def numbered(df: DataFrame, column: str, order: list, start: int = 1, step: int = 1) -> DataFrame:
-    """Sequence values without a single-task window: ranges are sorted apart and offset by counts."""
-    ranged = df.repartitionByRange(*map(order_of, order)).sortWithinPartitions(*map(order_of, order))
+    """Sequence values without a single-task window: ranges are sorted apart and offset by counts.
+
+    Ranges are written first, so that counts and values are of the same ones; what is broadcast
+    is a number a range."""
+    ranged = df.repartitionByRange(*map(order_of, order)).withColumn("_range", F.spark_partition_id())
+    ranged = written(ranged, "ranges").repartition("_range").sortWithinPartitions("_range", *map(order_of, order))
     part = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_inner", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     sizes = part.groupBy("_part").count()
     base = sizes.withColumn("_base", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")

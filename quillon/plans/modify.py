@@ -6,25 +6,18 @@ session's shared folder, so plans stay short and a version is never half visible
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import relational
+from ..sources.shared import written
 from .dialect import TYPES, _split, rewritten, text, tokens
 
 FLAGS = re.IGNORECASE | re.DOTALL
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), f"quillon-{os.getpid()}")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _parts(s: str) -> list[str]:
     return [text(x) for x in _split(tokens(s))]
 
@@ -38,9 +31,7 @@ class Tables:
         self.defaults: dict[str, dict[str, str]] = {}
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
-        path, schema = shared_path(self.spark, name), df.schema
-        df.write.parquet(path)
-        out = self.spark.read.schema(schema).parquet(path)
+        out = written(df, name)
         out.createOrReplaceTempView(name)
         return out
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pg
 from ..operators import filters, graph, relational, search, versions
+from ..sources.shared import new_path as _folder
 from ..streaming import feeds
 
 QUERIES: dict = {}
@@ -405,15 +406,6 @@ def view_incremental_join(spark, sf_dir):
 # --- streaming -------------------------------------------------------------------
 
 
-def _folder(spark, name: str) -> str:
-    import os
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), f"quillon-{os.getpid()}")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def _event_stream(spark, sf_dir) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators import versions
+from ..sources.shared import exists
 
 
 @dataclass
@@ -78,9 +79,9 @@ def maintained_view(stream: DataFrame, path: str, keys: list[str], value: str, c
 
     def merge(batch: DataFrame, number: int) -> None:
         before = f"{path}/v={number}"
-        try:
+        if number or exists(spark, before):  # only the first batch has no version before it
             view = spark.read.parquet(before)
-        except Exception:  # noqa: BLE001  the first batch
+        else:
             view = batch.limit(0).select(*keys, F.lit(0).cast("long").alias("n"), F.col(value).alias("total"))
         versions.merged_aggregate(view, batch, keys, value).write.mode("overwrite").parquet(f"{path}/v={number + 1}")
 
