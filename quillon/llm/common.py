@@ -2,18 +2,14 @@
 
 Intermediate tables are written as Parquet under the folder that the session
 names in ``spark.checkpoint.dir``: every executor can read them, they survive
-the loss of an executor and they cut lineage.  Only where that setting is
-absent (tests, notebooks) a folder of our own is used.
+the loss of an executor and they cut lineage.
 """
 
 from __future__ import annotations
 
 import gc
 import math
-import os
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +17,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path, written  # noqa: F401
+
 #: A word is a run of anything but space, tab, LF, VT, FF and CR.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -28,29 +26,6 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), f"quillon-shared-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back with its lineage cut."""
-    spark = df.sparkSession
-    path, schema = new_path(spark, name), df.schema
-    df.write.parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out._quillon_path = path
-    return out
-
-
 def discard(df: DataFrame) -> None:
     """Delete a written table that no later plan reads: what was made of it is written too."""
     drop_path(df.sparkSession, df._quillon_path)

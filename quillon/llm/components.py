@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,15 +28,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every vertex has one edge and leads to a root, which has none."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return ends.where("out > 1 OR out = 1 AND into = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``u``, ``root`` for every vertex but the roots; a root is its component's least vertex.
 
-    ``edges`` has columns u and v, in any direction; loops and repeats are ignored."""
-    edges = written(edges.where("u <> v").select("u", "v").distinct(), "edges")
-    before = None
-    while True:
-        edges = written(_star(_star(edges, True), False), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == before:
-            return edges.select("u", F.col("v").alias("root"))
-        before = now
+    ``edges`` has columns u and v, in any direction; loops and repeats are ignored.  Rounds
+    end when the edges are stars around roots: another would change nothing."""
+    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while not _settled(edges):
+        before, edges = edges, written(_star(_star(edges, True), False), "edges")
+        discard(before)
+    return edges.select("u", F.col("v").alias("root"))
