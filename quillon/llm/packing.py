@@ -4,9 +4,13 @@ A sequence has limits on tokens, on segments and on loss-bearing tokens at once.
 A sequence is filled from a pool of pieces: of those that fit, the one whose demand
 vector has the largest weighted dot product with what is left of the limits goes
 next, weights being the pool's mean demands.  When no whole piece fits, the piece
-with the largest product is cut to what is left and its rest goes back to the pool.
-So a sequence is short only if the limit on segments or loss ends it, or if it is a
-task's last one.
+with the largest product that can be cut to what is left is cut, and its rest goes back to
+the pool.  So a sequence is short only if the limit on segments or loss ends it, or if it
+is a task's last one.
+
+A document's first part is its prompt, whose tokens bear no loss; ``PROMPT`` is its share.
+With the loss limit below the token limit, sequences need prompts beside loss-bearing
+tokens, and a sequence of cut rests alone would be ended by the loss limit.
 
 Every task packs its own partition of the input with a bounded pool, so nothing is
 shuffled, no group of rows matters, and a lost task is repeated alike: the number of
@@ -26,7 +30,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of
 from .tokens import token_path, word_ids
 
 
@@ -34,11 +37,11 @@ from .tokens import token_path, word_ids
 class Limits:
     tokens: int = 2048
     segments: int = 64
-    loss: int = 2048
+    loss: int = 1920
 
 
-#: Pieces a task chooses from at once.
-POOL = 512
+#: Pieces a task chooses from at once, and the part of a document that is its prompt.
+POOL, PROMPT = 512, 0.125
 
 
 class Packer:
@@ -84,8 +87,10 @@ class Packer:
                 i = int(np.where(fits, score, -1.0).argmax())
                 n = int(self.demand[0, i])
             else:
-                i = int(np.where(live, score, -1.0).argmax())
-                n = self.cut(i, left)
+                most = self.cuts(left)
+                most[~live] = 0
+                i = int(np.where(most > 0, score, -1.0).argmax())
+                n = int(most[i])
                 if n == 0:
                     break
             out.append((self.keys[i], int(self.start[i]), n))
@@ -107,18 +112,18 @@ class Packer:
         """Loss-bearing tokens of the next n of piece i."""
         return max(0, n - max(0, int(self.context[i] - self.start[i])))
 
-    def cut(self, i: int, left: np.ndarray) -> int:
-        """The most tokens of piece i that fit."""
-        free = max(0, int(self.context[i] - self.start[i]))
-        return int(min(left[0], self.demand[0, i], free + left[2]))
+    def cuts(self, left: np.ndarray) -> np.ndarray:
+        """The most tokens of each piece that fit."""
+        free = np.maximum(self.context - self.start, 0)
+        return np.minimum(np.minimum(left[0], self.demand[0]), free + left[2])
 
 
 PIECE = "sequence_id long, offset long, start long, length long, doc_tokens long, ids binary"
 
 
-def packed(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", context_tokens: int = 1) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", prompt: float = PROMPT) -> DataFrame:
     """One row per piece: doc_id, its place in its document and in its sequence, and its ids
-    (binary, little-endian u4).  The first ``context_tokens`` of a document bear no loss."""
+    (binary, little-endian u4).  ``prompt``: the share of a document that bears no loss."""
 
     def pack(batches):
         coder, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
@@ -151,15 +156,17 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits
             kinds = [*[pa.int64()] * 6, pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["doc_id", "sequence_id", "offset", "start", "length", "doc_tokens", "ids"])
 
-        for doc_id, text in rows_of(batches):
-            ids = coder.encode(text) + end
-            held[key] = [doc_id, ids, len(ids) // 4]
-            fresh.append((key, len(ids) // 4, context_tokens))
-            key += 1
-            if len(fresh) >= POOL // 2:
-                packer.add(fresh)
-                fresh = []
-                yield from rows(packer.drain(POOL // 2 + 1))
+        for one in batches:
+            for doc_id, ids in zip(one.column(0).to_pylist(), coder.documents(one.column(1)), strict=True):
+                ids += end
+                n = len(ids) // 4
+                held[key] = [doc_id, ids, n]
+                fresh.append((key, n, int(n * prompt)))
+                key += 1
+                if len(fresh) >= POOL // 2:
+                    packer.add(fresh)
+                    fresh = []
+                    yield from rows(packer.drain(POOL // 2 + 1))
         if fresh:
             packer.add(fresh)
         yield from rows(packer.drain(1))
