@@ -9,14 +9,15 @@ name if it holds most of the page's text without links and comments, and four ti
 that of the articles beside it.  If the names leave less than a quarter of the text that
 is found without them, they don't count; those of comments if nothing is left.  Over the other blocks the ratio of text to tags is smoothed by a
 Gaussian, and blocks above a share of its standard deviation form the content
-clusters.  The page's text is every block of the region that holds them: the articles
-or main element they lie in if these hold most of their text or else the smallest
-container (no paragraph, list item, heading or inline element) that holds all clusters
-but links, where blocks that are mostly links outside of clusters go.
+clusters, less what at their ends is only smoothed that high.  These alone choose the region: the smallest container (no paragraph, list
+item, heading or inline element) that holds all clusters but links.  The page's text is every
+block of it, but those outside of clusters that are mostly links.  An article or main
+element has no say in this beyond its being a container.
 
 Character references are decoded, white space within a block becomes one space, and
 blocks are joined by a line feed; nothing is capped.  Null or empty html, and pages
-without text, give an empty text.  Broken markup is taken as the parser gives it: an
+without text, give an empty text; ids are long integers; repeated rows give repeated rows;
+other columns don't matter.  Broken markup is taken as the parser gives it: an
 end tag closes everything open within its element, an unmatched one is ignored.
 """
 
@@ -63,7 +64,7 @@ KEPT, SOFT, HARD = 0, 1, 2
 #: Names that leave less than one part in this many of the text don't count.
 LEAST_PART = 4
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-SIGMA, DEVIATIONS = 1.0, 0.5
+SIGMA, DEVIATIONS, FAIR_PART = 1.0, 0.5, 8
 
 
 @dataclass
@@ -72,7 +73,6 @@ class Block:
     tags: int
     linked: int
     path: tuple[int, ...]
-    region: int
     apart: bool
 
 
@@ -201,8 +201,7 @@ class Blocks(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            region, apart = (self.stack[-1].region, self.stack[-1].apart) if self.stack else (0, False)
-            self.blocks.append(Block(text, self.tags, self.linked, tuple(x.number for x in self.stack if x.tag in CONTAINERS), region, apart))
+            self.blocks.append(Block(text, self.tags, self.linked, tuple(x.number for x in self.stack if x.tag in CONTAINERS), bool(self.stack) and self.stack[-1].apart))
             self.tags = 0
         self.parts, self.linked = [], 0
 
@@ -216,24 +215,31 @@ def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def content(blocks: list[Block]) -> list[bool]:
-    """Whether each block is in a cluster of high text-to-tag ratio."""
-    ratio = smoothed(np.array([len(b.text) / max(1, b.tags) for b in blocks], float))
-    return (ratio >= min(DEVIATIONS * ratio.std(), ratio.max())).tolist()
+    """Whether each block is in a cluster of high text-to-tag ratio.
+
+    A cluster begins and ends with a block whose own ratio is a fair part of that, not with one
+    that merely stands beside such."""
+    own = np.array([len(b.text) / max(1, b.tags) for b in blocks], float)
+    ratio = smoothed(own)
+    least = min(DEVIATIONS * ratio.std(), ratio.max())
+    inside, high = ratio >= least, np.flatnonzero((ratio >= least) & (FAIR_PART * own >= least))
+    if len(high):
+        cluster = np.cumsum(np.diff(inside, prepend=False) & inside)  # its number, from one
+        at = np.arange(len(own))
+        k = np.searchsorted(high, at)
+        before, after = high[np.maximum(k - (high[np.minimum(k, len(high) - 1)] != at), 0)], high[np.minimum(k, len(high) - 1)]
+        inside &= (before <= at) & (after >= at) & (cluster[before] == cluster) & (cluster[after] == cluster)
+    return inside.tolist()
 
 
 def chosen(blocks: list[Block]) -> list[str]:
+    """The blocks of the smallest container that holds the clusters."""
     blocks = [b for b in blocks if not b.apart]
     if not blocks:
         return []
     inside = content(blocks)
     linked = lambda b: 2 * b.linked > len(b.text)
-    size: dict[int, int] = {}
-    for b, x in zip(blocks, inside, strict=True):
-        if x and b.region:
-            size[b.region] = size.get(b.region, 0) + len(b.text)
     cluster = [b for b, x in zip(blocks, inside, strict=True) if x and not linked(b)]
-    if size and sum(size.values()) >= sum(len(b.text) for b in cluster if not b.region):
-        return [b.text for b in blocks if b.region in size]
     shared = set.intersection(*(set(b.path) for b in cluster)) if cluster else set()
     holder = max(shared, default=None)
     return [b.text for b, x in zip(blocks, inside, strict=True) if (holder is None or holder in b.path) and not (linked(b) and not x)]
