@@ -5,12 +5,15 @@ becomes the response and every other joins to it as a revisit.  Verdicts go back
 the pages by their place in their file, and the archives are written by Spark's text
 writer, whose line separator, ``CR LF CR LF``, is what ends a WARC record: files are
 committed as a whole, on whatever file system the shared folder is, and gzip'd.
-Reading follows each record's Content-Length, so payloads may hold any bytes.
+A file begins with a warcinfo record and holds about ``ARCHIVE_BYTES`` of payloads, so it can
+be read whole.  Headers are fresh: date, record id and lengths are those of the writing.
+Reading follows each record's Content-Length, so payloads may hold any bytes; a response's
+digest is taken of its payload, and a revisit's is held against its original's.
 
 Of equal payloads of ``least_bytes`` or more the largest page_id is the response (of
 several rows with that page_id, one of them); smaller payloads are all responses.
 Null html is an empty payload; null page_ids sort lowest; a null url gives a record
-without a target; an empty table gives no records.
+without a target; an empty table gives no records; other columns are not written.
 """
 
 from __future__ import annotations
@@ -19,16 +22,17 @@ import base64
 import gzip
 import hashlib
 import io
+import math
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, identified, new_path, rows_of
+from .common import ROW, identified, new_path, partitions, rows_of, written
 
 CRLF = "\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-DATE, RECORDS_A_FILE = "1970-01-01T00:00:00Z", 5000
+ARCHIVE_BYTES = 64 << 20
 RESULT = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -53,12 +57,16 @@ def verdicts(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
     return df.select(*ROW, "digest", "bytes", F.when(revisit, F.col("o")).alias("o"))
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str = DATE) -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: Column | None = None) -> None:
     """Write a record per page (page_id, url, html) as gzip'd WARC files under ``path``."""
+    spark = pages.sparkSession
     keyed = identified(pages.select("page_id", "url", "html"))
     payload = F.coalesce("html", F.lit(""))
     headers = keyed.select(*ROW, "page_id", "url", base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
-    df = keyed.join(verdicts(headers, least_bytes), ROW)
+    own = written(verdicts(headers, least_bytes), "headers")
+    files = max(partitions(spark), math.ceil((own.agg(F.sum("bytes")).first()[0] or 0) / ARCHIVE_BYTES))
+    df = keyed.repartition(files, *ROW).join(own.repartition(files, *ROW), ROW)  # one shuffle, a file a partition
+    date = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'") if date is None else date
     name = lambda f, r: F.concat(F.lit("<urn:sha1:"), F.sha1(F.concat_ws(":", f, r)), F.lit(">"))
     line = lambda key, value: F.coalesce(F.concat(F.lit(f"{key}: "), value.cast("string"), F.lit(CRLF)), F.lit(""))
     uri = lambda c: F.regexp_replace(c, "[\\x00-\\x20\\x7f]", "%20")
@@ -69,12 +77,13 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", F.when(o.isNull(), "response").otherwise("revisit")),
         line("WARC-Record-ID", name(F.col(ROW[0]), F.col(ROW[1]))),
-        line("WARC-Date", F.lit(date)),
+        line("WARC-Date", date),
         line("WARC-Target-URI", uri(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
         line("WARC-Profile", F.when(o.isNotNull(), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         line("WARC-Refers-To", F.when(o.isNotNull(), name(o[ROW[0]], o[ROW[1]]))),
         line("WARC-Refers-To-Target-URI", uri(o["url"])),
+        line("WARC-Refers-To-Date", F.when(o.isNotNull(), date)),
         line("X-Page-Id", F.col("page_id")),
         line("X-Refers-To-Page-Id", o["page_id"]),
         line("Content-Type", F.lit("application/http; msgtype=response")),
@@ -83,8 +92,16 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
         http,
         F.when(o.isNull(), payload).otherwise(""),
     )
-    out = df.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
-    out.option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    about = f"software: quillon{CRLF}format: WARC File Format 1.1{CRLF}"
+    info = F.concat(
+        F.lit(f"WARC/1.1{CRLF}WARC-Type: warcinfo{CRLF}"),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))),
+        line("WARC-Date", date),
+        F.lit(f"Content-Type: application/warc-fields{CRLF}Content-Length: {len(about)}{CRLF}{CRLF}{about}{CRLF}{CRLF}"),
+    )
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    out = df.select(F.concat(F.when(first, info).otherwise(""), record).alias("value"))
+    out.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def records(f) -> "iter":
@@ -103,27 +120,33 @@ def records(f) -> "iter":
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """One row per record; a response's digest is taken of the payload and held against its header."""
+    """One row per response or revisit; what their headers say of payloads and originals is checked."""
 
     def run(batches):
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-        names = [x.split()[0] for x in RESULT.split(", ")]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+        names = [*(x.split()[0] for x in RESULT.split(", ")), "record"]
         for batch in batches:
             for content in batch.column(0):
                 rows = []
                 for h, block in records(gzip.open(io.BytesIO(content.as_buffer()))):
+                    if h["WARC-Type"] == "warcinfo":
+                        continue
                     http, _, payload = block.partition(b"\r\n\r\n")
                     size = int(http.rpartition(b"Content-Length: ")[2])
                     digest, kind = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"]
                     if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
                         raise ValueError("a payload differs from its header")
                     page, to = h.get("X-Page-Id"), h.get("X-Refers-To-Page-Id")
-                    rows.append((page and int(page), h.get("WARC-Target-URI"), size, digest, kind, to and int(to)))
-                columns = list(zip(*rows, strict=True)) or [[]] * 6
+                    rows.append((page and int(page), h.get("WARC-Target-URI"), size, digest, kind, to and int(to), h.get("WARC-Refers-To", h["WARC-Record-ID"])))
+                columns = list(zip(*rows, strict=True)) or [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, RESULT)
+    found = written(files.mapInArrow(run, f"{RESULT}, record string"), "records")
+    groups = found.groupBy("record").agg(F.min("payload_digest").alias("a"), F.max("payload_digest").alias("b"), F.sum((F.col("record_type") == "response").cast("int")).alias("n"))
+    if not groups.where("a <> b OR n <> 1").isEmpty():
+        raise ValueError("a revisit differs from its original, or has none")
+    return found.drop("record")
 
 
 def op9_warc_revisits(spark, sf_dir: str) -> DataFrame:
