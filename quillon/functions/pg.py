@@ -6,6 +6,8 @@ whole-stage code generation wherever Spark's own functions do.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +52,11 @@ def similar_to_regex(pattern: str, escape: str = "\\") -> str:
         if c == escape and i + 1 < len(pattern):
             i += 1
             out.append("\\" + pattern[i] if not pattern[i].isalnum() else pattern[i])
+        elif c == "[":  # a class is the same in both, but for Java's signs of its own
+            stop = pattern.find("]", i + (3 if pattern[i + 1 : i + 3] == "^]" else 2))
+            stop = len(pattern) - 1 if stop < 0 else stop
+            out.append(re.sub(r"(?<!^)[\[&]", r"\\\g<0>", pattern[i : stop + 1]))
+            i = stop
         elif c == "%":
             out.append(".*")
         elif c == "_":
@@ -156,8 +163,6 @@ MYSQL_FORMAT = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%
 
 
 def _codes(pattern: str, table: dict[str, str]) -> str:
-    import re
-
     parts = re.split("(" + "|".join(map(re.escape, sorted(table, key=len, reverse=True))) + ")", pattern)
     return "".join(table[p] if p in table else "".join(f"'{c}'" if c.isalpha() else c for c in p) for p in parts)
 
@@ -388,9 +393,16 @@ def cosine_similarity(a, b) -> Column:
 # --- text search -------------------------------------------------------------
 
 
+#: Unicode's word boundaries (UAX 29) as a pattern: ideographs stand alone; letters go on over an
+#: apostrophe, a full stop, a colon or a middle dot between letters, digits over an apostrophe, a
+#: full stop, a comma or a semicolon between digits.
+_WORD = r"(?:[\p{L}\p{M}\p{N}_&&[^\p{IsHan}\p{IsHiragana}]]|(?<=\p{L})[:\u00b7.'\u2019](?=\p{L})|(?<=\p{N})[.,;'\u2019](?=\p{N}))"
+WORDS = rf"[\p{{IsHan}}\p{{IsHiragana}}]|_*[\p{{L}}\p{{N}}&&[^\p{{IsHan}}\p{{IsHiragana}}]]{_WORD}*"
+
+
 def tsvector(text) -> Column:
-    """Lower-cased words: runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(F.coalesce(_col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Lower-cased words by Unicode's word boundaries."""
+    return F.regexp_extract_all(F.lower(F.coalesce(_col(text), F.lit(""))), F.lit(WORDS), F.lit(0))
 
 
 def ts_match(document, query) -> Column:

@@ -21,7 +21,32 @@ def typed(value: str):
 
 
 def _list(value: str) -> list:
-    return [typed(x.strip().strip('"')) for x in value.strip("(){}").split(",") if x.strip()]
+    """The values of ``(1,2,"a,b")``; quoted ones are text and may hold commas."""
+    found = re.findall(r'\s*(?:"((?:[^"\\]|\\.)*)"|([^,]*))\s*(?:,|$)', value.strip()[1:-1] if value.strip()[:1] in ("(", "{") else value)
+    return [re.sub(r"\\(.)", r"\1", quoted) if quoted or not plain else typed(plain.strip()) for quoted, plain in found if quoted or plain.strip()]
+
+
+def _every(c: Column, query: str) -> Column:
+    return F.size(F.array_except(pg.tsvector(F.lit(query)), pg.tsvector(c))) == 0
+
+
+def _phrase(c: Column, query: str) -> Column:
+    """The query's words side by side."""
+    joined = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    return F.contains(joined(pg.tsvector(c)), joined(pg.tsvector(F.lit(query))))
+
+
+def _web(c: Column, query: str) -> Column:
+    """Words and "phrases" that are all there, ``or`` between alternatives, ``-`` before what isn't."""
+    out = None
+    for part in re.split(r"(?i)\s+or\s+", query):
+        every = None
+        for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', part):
+            one = _phrase(c, phrase or word)
+            one = ~one if minus else one
+            every = one if every is None else every & one
+        out = every if out is None else out | every
+    return out
 
 
 REST = {
@@ -38,7 +63,10 @@ REST = {
     "cs": lambda c, v: pg.contains(c, F.array(*map(F.lit, _list(v)))),
     "cd": lambda c, v: pg.contains(F.array(*map(F.lit, _list(v))), c),
     "ov": lambda c, v: F.arrays_overlap(c, F.array(*map(F.lit, _list(v)))),
-    **{k: (lambda c, v: pg.ts_match(pg.tsvector(c), pg.tsvector(F.lit(v)))) for k in ("fts", "plfts", "phfts", "wfts")},
+    "fts": lambda c, v: pg.ts_match(pg.tsvector(c), pg.tsvector(F.lit(v))),
+    "plfts": _every,
+    "phfts": _phrase,
+    "wfts": _web,
 }
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import pg
+from ..sources.shared import written
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -26,14 +27,14 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def bm25(docs: DataFrame, query: str, id_col: str, text_col: str) -> DataFrame:
     """id and score of every document with a term of the query.
 
-    Only the query's terms leave the tokenizer, and counts are taken in the same pass:
-    nothing but matches is shuffled."""
+    Texts are tokenized once: a length and the query's counts are written for each, from
+    which totals and scores are taken.  Nothing but matches is shuffled."""
     spark = docs.sparkSession
     terms = sorted(set(spark.range(1).select(pg.tsvector(F.lit(query))).first()[0]))
-    words = docs.select(F.col(id_col).alias("id"), pg.tsvector(text_col).alias("w"))
     same = lambda t: lambda x: x == F.lit(t)
-    tf = [F.size(F.filter("w", same(t))).cast("double").alias(f"t{i}") for i, t in enumerate(terms)]
-    counted = words.select("id", F.size("w").cast("double").alias("dl"), *tf)
+    counts = lambda w: F.struct(F.size(w).cast("double").alias("dl"), *(F.size(F.filter(w, same(t))).cast("double").alias(f"t{i}") for i, t in enumerate(terms)))
+    measured = F.get(F.transform(F.array(pg.tsvector(text_col)), counts), F.lit(0))  # the words are a variable: made once
+    counted = written(docs.select(F.col(id_col).alias("id"), measured.alias("m")).select("id", "m.*"), "counts")
     totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"t{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(terms)))).first()
     score = F.lit(0.0)
     any_term = F.lit(False)

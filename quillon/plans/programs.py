@@ -11,6 +11,7 @@ from ..functions import pg
 from ..operators import filters, graph, relational, search, versions
 from ..sources.shared import new_path as _folder
 from ..streaming import feeds
+from .statements import JOINED
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -170,7 +171,7 @@ def row_security(spark, sf_dir):
 
 # --- search ----------------------------------------------------------------------
 
-_BM25 = r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS t FROM documents),
+_BM25 = rf"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all({JOINED.format('text')}, '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: regexp_matches(w, '[\p{{L}}\p{{N}}]')) AS t FROM documents),
 s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM w), q AS (SELECT unnest(['the', 'ontion', 'que']) AS term),
 tf AS (SELECT doc_id, len(t) AS dl, term, len(list_filter(t, lambda x: x = term)) AS f FROM w, q), df AS (SELECT term, count(*) FILTER (f > 0) AS d FROM tf GROUP BY term)
 SELECT doc_id AS id, sum(ln((n - d + 0.5) / (d + 0.5) + 1) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a))) AS score FROM tf JOIN df USING (term), s WHERE f > 0 GROUP BY doc_id"""

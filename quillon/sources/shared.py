@@ -25,9 +25,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back with its lineage cut."""
-    path, schema = new_path(df.sparkSession, name), df.schema
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write ``df`` to a new folder, in the shared one or in ``folder``, and read it back with its
+    lineage cut."""
+    path, schema = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else new_path(df.sparkSession, name), df.schema
     df.write.parquet(path)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out._quillon_path = path
