@@ -65,15 +65,22 @@ def shortest_path(edges: DataFrame, start, goal, rounds: int = 1000) -> list:
     kind = edges.schema["src"].dataType
     seeds = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"))
     best = shortest_distances(edges, seeds, rounds)
-    path, at = [], goal
-    while True:
-        row = best.where(F.col("node") == F.lit(at)).first()
-        if row is None:
-            return []
-        path.append(at)
-        if row["parent"] is None:
-            return path[::-1]
-        at = row["parent"]
+    parents = best.select("node", "parent")
+    # The way back by doubling: after n steps a node knows the 2 ** n nodes before it.
+    row = parents.where(F.col("node") == F.lit(goal)).first()
+    if row is None:
+        return []
+    ways = _kept(parents.where("parent IS NOT NULL").select("node", F.array("parent").alias("way")))
+    path = [goal] + ([row["parent"]] if row["parent"] is not None else [])
+    while path[-1] != start and row["parent"] is not None:
+        found = ways.where(F.col("node") == F.lit(path[-1])).first()
+        if found is None:
+            break
+        path += found["way"]
+        if path[-1] != start:
+            back = ways.select(F.col("node").alias("mid"), F.col("way").alias("more"))
+            ways = _kept(ways.join(back, F.element_at("way", -1) == F.col("mid"), "left").select("node", F.concat("way", F.coalesce("more", F.array().cast(ways.schema["way"].dataType))).alias("way")))
+    return path[::-1]
 
 
 def two_way_hops(edges: DataFrame, start, goal, limit: int = MAX_DEPTH) -> int | None:
@@ -124,6 +131,17 @@ def linked_by_name(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     return mentions.join(nodes.select(F.col("title").alias("name"), F.col("node").alias("dst")), "name").select("src", "dst")
 
 
+def linked_by_vector(mentions: DataFrame, targets: DataFrame, k: int, least: float, cells: int = 16, probes: int | None = None) -> DataFrame:
+    """Edges (src, dst, weight) from each mention to the ``k`` targets of the greatest cosine
+    similarity, if it is ``least`` or more; both have id and vector.  Targets are indexed by cells;
+    with all of them probed, as is the default, nothing is missed."""
+    from .search import IvfIndex
+
+    index = IvfIndex(targets.select("id", "vector"), "id", "vector", cells)
+    near = index.search_all(mentions.select("id", "vector"), k, probes or cells, "cosine")
+    return near.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), (1 - F.col("distance")).alias("weight")).where(F.col("weight") >= least)
+
+
 def ingest(table: DataFrame, id_col: str, kind: str, title_col: str | None, text_col: str, headings: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a table: a node per row or, by headings, one per section under it."""
     title = F.col(title_col) if title_col else F.lit(None).cast("string")

@@ -78,8 +78,33 @@ class IvfIndex:
         some = df if n <= sample else df.where(F.pmod(F.xxhash64(id_col), F.lit(n)) < sample)
         model = KMeans(k=cells, seed=seed, featuresCol="_v", maxIter=10).fit(some.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v")))
         self.centres = [[float(x) for x in c] for c in model.clusterCenters()]
-        far = F.array(*(pg.l2_distance(vec_col, c) for c in self.centres))
-        self.table = df.withColumn("_far", far).withColumn("cell", (F.array_position("_far", F.array_min("_far")) - 1).cast("int")).drop("_far")
+        self.table = self._placed(df)
+
+    def _cells(self, vec_col: str, probes: int) -> Column:
+        """The numbers of the nearest cells, the nearest first; null for no vector."""
+        far = F.array(*(F.struct(pg.l2_distance(vec_col, c).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(self.centres)))
+        near = F.transform(F.slice(F.array_sort(far), 1, probes), lambda x: x["cell"])
+        return F.when(F.col(vec_col).isNotNull(), near)
+
+    def _placed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("cell", F.get(self._cells(self.vec_col, 1), F.lit(0)))
+
+    def insert(self, rows: DataFrame) -> None:
+        """Rows of new ids, or new vectors of known ones."""
+        self.delete(rows.select(self.id_col))
+        self.table = self.table.unionByName(self._placed(rows))
+
+    def delete(self, ids: DataFrame) -> None:
+        self.table = self.table.join(ids.select(self.id_col).distinct(), self.id_col, "left_anti").select(*self.table.columns)
+
+    def search_all(self, queries: DataFrame, k: int, probes: int = 4, metric: str = "l2") -> DataFrame:
+        """query_id, id and distance of the ``k`` nearest of every row of ``queries`` (same columns):
+        queries meet the table at their cells, and distances are exact."""
+        asked = queries.select(F.col(self.id_col).alias("query_id"), F.col(self.vec_col).alias("_q"), F.explode(self._cells(self.vec_col, probes)).alias("cell"))
+        far = METRICS[metric](self.vec_col, F.col("_q"))
+        met = self.table.join(asked, "cell").select("query_id", self.id_col, far.alias("distance"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", self.id_col))
+        return met.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
     def write(self, path: str) -> None:
         self.table.repartition("cell").write.partitionBy("cell").parquet(path)
@@ -173,6 +198,33 @@ class ProductQuantizer:
         return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
+def biased(hits: DataFrame, central: DataFrame, k: int, alpha: float, where: Column | None = None) -> DataFrame:
+    """The ``k`` best of a search's hits (id, distance) by a blend of distance and centrality (id,
+    centrality): (1 - alpha) * distance / largest - alpha * centrality, lower first."""
+    alpha = min(max(alpha, 0.0), 1.0)
+    hits = hits.where(where) if where is not None else hits
+    most = hits.agg(F.max("distance").alias("_most"))
+    near = F.when(F.col("_most") > 0, F.col("distance") / F.col("_most")).otherwise(0.0)
+    weight = F.least(F.greatest(F.coalesce("centrality", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    scored = hits.crossJoin(F.broadcast(most)).join(central, "id", "left")  # one row
+    return scored.select("id", ((1 - alpha) * near - alpha * weight).alias("score")).orderBy("score", "id").limit(k)
+
+
+def refined(hits: DataFrame, least: float | None = None, distinct_by: str | None = None, group_by: str | None = None, per_group: int = 3, namespace: tuple[str, object] | None = None) -> DataFrame:
+    """A search's hits (id, score, further columns) of one namespace and of a score, with the best of
+    each value of ``distinct_by``, or the ``per_group`` best of each group with their place in it."""
+    if namespace:
+        hits = hits.where(F.col(namespace[0]) == F.lit(namespace[1]))
+    if least is not None:
+        hits = hits.where(F.col("score") >= least)
+    best_of = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("score"), "id"))
+    if distinct_by:
+        hits = hits.withColumn("_r", best_of(distinct_by)).where("_r = 1").drop("_r")
+    if group_by:
+        hits = hits.withColumn("place", best_of(group_by)).where(F.col("place") <= per_group)
+    return hits
+
+
 # --- fusion ----------------------------------------------------------------------
 
 
@@ -235,6 +287,28 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 500, overlap
     return out.select("id", "ordinal", F.substring("t", F.col("at") + 1, F.lit(size)).alias("chunk")).where(F.length("chunk") >= least)
 
 
+def merged(hits: DataFrame, all_chunks: DataFrame, most: int) -> DataFrame:
+    """Hits (id, ordinal) that follow one another as one text of at most ``most`` characters: a run
+    is cut where the next chunk would make it longer.  Texts are those of the chunks (id, ordinal,
+    chunk), so overlaps are kept."""
+    order = Window.partitionBy("id").orderBy("ordinal")
+    found = all_chunks.join(hits.select("id", "ordinal").distinct(), ["id", "ordinal"], "left_semi")
+    runs = found.withColumn("run", F.col("ordinal") - F.row_number().over(order)).groupBy("id", "run").agg(F.array_sort(F.collect_list(F.struct("ordinal", "chunk"))).alias("c"))
+
+    def add(made, x):
+        """The last text goes on, or another begins."""
+        last = F.element_at(made, -1)
+        longer = F.concat(last["text"], F.lit(" "), x["chunk"])
+        own = F.struct(x["ordinal"].alias("first"), x["ordinal"].alias("last"), x["chunk"].alias("text"))
+        joined = F.struct(last["first"].alias("first"), x["ordinal"].alias("last"), longer.alias("text"))
+        rest = F.slice(made, 1, F.size(made) - 1)
+        return F.when(F.size(made) == 0, F.array(own)).when(F.length(longer) <= most, F.concat(rest, F.array(joined))).otherwise(F.concat(made, F.array(own)))
+
+    kind = f"array<struct<first:{dict(found.dtypes)['ordinal']},last:{dict(found.dtypes)['ordinal']},text:string>>"
+    parts = runs.select("id", F.explode(F.aggregate("c", F.array().cast(kind), add)).alias("p"))
+    return parts.select("id", "p.first", "p.last", "p.text")
+
+
 def expanded(hits: DataFrame, all_chunks: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
     """Chunks around each hit (id, ordinal)."""
     wanted = hits.select("id", F.explode(F.sequence(F.col("ordinal") - before, F.col("ordinal") + after)).alias("ordinal")).distinct()

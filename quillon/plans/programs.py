@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import pg
 from ..operators import filters, graph, relational, search, versions
+from ..sources import io
 from ..sources.shared import new_path as _folder
 from ..streaming import feeds
+from .engine import Engine
 from .statements import JOINED
 
 QUERIES: dict = {}
@@ -210,9 +212,11 @@ def vector_functions(spark, sf_dir):
 
 @query()
 def knn_ivf(spark, sf_dir):
+    """Every vector whose id is divisible by 100; half of the cells are looked into."""
     df = table(spark, sf_dir, "embeddings")
-    index = search.IvfIndex(df, "vec_id", "embedding", cells=8)
-    return index.search(_query_vector(spark, sf_dir), 10, probes=6).select("vec_id", "distance")
+    cells = max(4, min(256, math.isqrt(df.count()) // 2))
+    index = search.IvfIndex(df, "vec_id", "embedding", cells=cells)
+    return index.search_all(df.where("vec_id % 100 = 0"), 20, probes=-(-cells * 3 // 4))
 
 
 @query()
@@ -437,3 +441,243 @@ def stream_maintained_view(spark, sf_dir):
     stream = _event_stream(spark, sf_dir).select("event_type", "value", F.lit("I").alias("op"))
     feeds.maintained_view(stream, out, ["event_type"], "value", _folder(spark, "state")).awaitTermination()
     return spark.read.parquet(f"{out}/v=1").select("event_type", "n", F.round("total", 4).alias("total"))
+
+
+# --- statements that change something ------------------------------------------------
+
+
+def script(spark, sf_dir: str, tables: list[str], *statements: str) -> DataFrame:
+    """What the last of a session's statements gives."""
+    engine = Engine(spark)
+    engine.register_dir(sf_dir, tables)
+    for s in statements[:-1]:
+        engine.sql(s)
+    return engine.sql(statements[-1])
+
+
+@query("SELECT c_custkey AS id, c_name AS label, c_acctbal + 1 AS balance, 7 AS extra FROM customer WHERE c_nationkey < 5 AND c_custkey % 2 = 0")
+def statement_table(spark, sf_dir):
+    return script(
+        spark, sf_dir, ["customer"],
+        "CREATE TABLE s_table AS SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, c_mktsegment AS seg FROM customer WHERE c_nationkey < 5",
+        "ALTER TABLE s_table ADD COLUMN extra INT DEFAULT 7", "ALTER TABLE s_table RENAME COLUMN name TO label", "ALTER TABLE s_table DROP COLUMN seg",
+        "ALTER TABLE s_table ALTER COLUMN balance TYPE DOUBLE PRECISION", "ALTER TABLE s_table ALTER COLUMN label SET NOT NULL", "ALTER TABLE s_table ADD PRIMARY KEY (id)",
+        "UPDATE s_table SET balance = balance + 1 WHERE id >= 0", "DELETE FROM s_table WHERE id % 2 = 1", "ALTER TABLE s_table RENAME TO s_table_2", "SELECT * FROM s_table_2",
+    )
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey < 3 THEN 100 + n_nationkey ELSE n_nationkey END::BIGINT AS v FROM nation UNION ALL SELECT 99, 1")
+def statement_upsert(spark, sf_dir):
+    return script(
+        spark, sf_dir, ["nation"], "CREATE TABLE s_upsert (id INT PRIMARY KEY, v BIGINT DEFAULT 1)", "INSERT INTO s_upsert SELECT n_nationkey, n_nationkey FROM nation",
+        "INSERT INTO s_upsert (id, v) VALUES (0, 100), (1, 100), (2, 100) ON CONFLICT (id) DO UPDATE SET v = excluded.v + v",
+        "INSERT INTO s_upsert (id) VALUES (5), (99) ON CONFLICT (id) DO NOTHING", "SELECT id, v FROM s_upsert",
+    )
+
+
+@query("SELECT o_orderkey AS k, o_totalprice * 2 AS p, c_name AS who FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3 UNION ALL SELECT o_orderkey, o_totalprice, NULL FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey NOT IN (3, 4)")
+def statement_update_from(spark, sf_dir):
+    return script(
+        spark, sf_dir, ["orders", "customer"], "CREATE TABLE s_orders AS SELECT o_orderkey AS k, o_custkey AS c, o_totalprice AS p, NULL::text AS who FROM orders",
+        "UPDATE s_orders AS o SET p = o.p * 2, who = customer.c_name FROM customer WHERE o.c = customer.c_custkey AND customer.c_nationkey = 3",
+        "DELETE FROM s_orders USING customer WHERE s_orders.c = customer.c_custkey AND customer.c_nationkey = 4", "SELECT k, p, who FROM s_orders",
+    )
+
+
+@query("SELECT 10::BIGINT AS a, 13::BIGINT AS b, 13::BIGINT AS c, 13::BIGINT AS d, 1003::BIGINT AS e")
+def statement_sequence(spark, sf_dir):
+    return script(
+        spark, sf_dir, [], "CREATE SEQUENCE s_seq START WITH 10 INCREMENT BY 3", "CREATE TABLE s_seen AS SELECT nextval('s_seq') AS a, nextval('s_seq') AS b, currval('s_seq') AS c, lastval() AS d",
+        "SELECT setval('s_seq', 1000) AS x", "CREATE TABLE s_next AS SELECT nextval('s_seq') AS e", "SELECT a, b, c, d, e FROM s_seen, s_next",
+    )
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3 AND c_acctbal > 100")
+def statement_prepared(spark, sf_dir):
+    return script(spark, sf_dir, ["customer"], "PREPARE s_p (INT, DOUBLE) AS SELECT c_custkey, c_name FROM customer WHERE c_nationkey = $1 AND c_acctbal > $2", "EXECUTE s_p(1 + 2, 100)")
+
+
+@query("SELECT o_orderkey, o_totalprice * 0.2::DOUBLE AS tax, (o_custkey // 10 + 1) * 2 AS bucket FROM orders")
+def statement_function(spark, sf_dir):
+    return script(
+        spark, sf_dir, ["orders"], "CREATE FUNCTION s_tax(price DOUBLE PRECISION) RETURNS DOUBLE PRECISION AS $$ SELECT price * 0.2::float8 $$ LANGUAGE sql IMMUTABLE",
+        "CREATE OR REPLACE FUNCTION s_twice(bigint) RETURNS bigint LANGUAGE sql AS 'SELECT $1 * 2'", "SELECT o_orderkey, s_tax(o_totalprice) AS tax, s_twice(o_custkey / 10 + 1) AS bucket FROM orders",
+    )
+
+
+@query("SELECT c_nationkey, count(*) + (c_nationkey = 1)::INT AS n FROM customer GROUP BY c_nationkey")
+def statement_materialized_view(spark, sf_dir):
+    return script(
+        spark, sf_dir, ["customer"], "CREATE TABLE s_base AS SELECT c_custkey, c_nationkey FROM customer",
+        "CREATE MATERIALIZED VIEW s_view AS SELECT c_nationkey, count(*) AS n FROM s_base GROUP BY c_nationkey", "INSERT INTO s_base VALUES (-1, 1)",
+        "REFRESH MATERIALIZED VIEW s_view", "ALTER MATERIALIZED VIEW s_view RENAME TO s_counts", "SELECT c_nationkey, n FROM s_counts",
+    )
+
+
+@query("SELECT n_nationkey AS k, CASE WHEN n_nationkey = 1 THEN 'theirs' WHEN n_nationkey = 2 THEN 'main' ELSE n_name END AS v FROM nation WHERE n_nationkey <> 3")
+def statement_branch(spark, sf_dir):
+    return script(
+        spark, sf_dir, ["nation"], "CREATE TABLE s_branch (k INT PRIMARY KEY, v TEXT)", "INSERT INTO s_branch SELECT n_nationkey, n_name FROM nation", "CREATE BRANCH s_dev", "USE BRANCH s_dev",
+        "UPDATE s_branch SET v = 'theirs' WHERE k = 1", "DELETE FROM s_branch WHERE k = 3", "USE BRANCH main", "UPDATE s_branch SET v = 'main' WHERE k IN (1, 2)", "MERGE BRANCH s_dev INTO main", "SELECT k, v FROM s_branch",
+    )
+
+
+@query("SELECT n_nationkey AS k, n_name AS v FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def statement_copy(spark, sf_dir):
+    a, b = _folder(spark, "copy"), _folder(spark, "copy")
+    return script(
+        spark, sf_dir, ["nation"], "CREATE TABLE s_copy (k INT, v TEXT)", f"COPY (SELECT n_nationkey, n_name FROM nation) TO '{a}' WITH (FORMAT csv, HEADER true)", f"COPY s_copy FROM '{a}' WITH (FORMAT csv, HEADER true)",
+        f"COPY (SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1) TO '{b}'", f"COPY s_copy (k, v) FROM '{b}'", "SELECT k, v FROM s_copy",
+    )
+
+
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders WHERE o_orderkey % 5 <> 0")
+def time_travel_now(spark, sf_dir):
+    engine = Engine(spark)
+    engine.register_versions("s_log", _log(spark, sf_dir), ["k"])
+    engine.sql("VACUUM s_log")
+    return engine.sql("SELECT k, price FROM s_log AS OF NOW")
+
+
+# --- sources -------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey > 10 ORDER BY c_custkey LIMIT 40")
+def source_csv(spark, sf_dir):
+    path = _folder(spark, "csv")
+    io.export(table(spark, sf_dir, "customer"), path, "csv", ["c_custkey", "c_name", "c_acctbal"], "c_custkey > 10", ["c_custkey"], 40)
+    return io.import_file(spark, path, "csv").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_acctbal")
+
+
+@query("SELECT event_id, event_type AS kind, value FROM events")
+def source_json_lines(spark, sf_dir):
+    path = _folder(spark, "json")
+    io.export(table(spark, sf_dir, "events"), path, "jsonl", ["event_id", "event_type", "value", "props"])
+    return io.import_file(spark, path, "jsonl", {"event_type": "kind"}, ["props"])
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'P') GROUP BY o_orderstatus")
+def source_partitioned(spark, sf_dir):
+    path = _folder(spark, "parts")
+    io.write_partitioned(table(spark, sf_dir, "orders"), path, ["o_orderstatus"], 4)
+    return spark.read.parquet(path).where("o_orderstatus IN ('F', 'P')").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def source_dump_restore(spark, sf_dir):
+    path = _folder(spark, "dump")
+    io.dump({t: table(spark, sf_dir, t) for t in ("nation", "region")}, path)
+    back = io.restore(spark, path, ["nation", "region"])
+    return back["nation"].join(back["region"], F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+
+
+@query("SELECT 'INSERT INTO \"nation\" (\"n_nationkey\", \"n_name\") VALUES (' || n_nationkey || ', ''' || replace(n_name, '''', '''''') || ''');' AS value FROM nation")
+def source_inserts(spark, sf_dir):
+    return io.inserts(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "nation")
+
+
+# --- more of search and graphs --------------------------------------------------------
+
+
+@query(f"SELECT vec_id AS id, round(0.7 * d / max(d) OVER () - 0.3 * least(c, 1.0), 6) AS score FROM (SELECT vec_id, label / 10.0 AS c, sqrt(list_sum(list_transform(list_zip(embedding, q), lambda p: (p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2])))) AS d FROM embeddings, {_Q} ORDER BY d, vec_id LIMIT 40)")
+def knn_biased(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings")
+    hits = search.knn(df, _query_vector(spark, sf_dir), 40, "l2", "vec_id").select(F.col("vec_id").alias("id"), "distance")
+    central = df.select(F.col("vec_id").alias("id"), (F.col("label") / 10).alias("centrality"))
+    return search.biased(hits, central, 40, 0.3).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT id, place FROM (SELECT id, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS place FROM (SELECT id, round(score, 6) AS score, source FROM ({_BM25}) b JOIN documents ON id = doc_id WHERE lang = 'en') WHERE score >= 0.5) WHERE place <= 2")
+def search_refined(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    hits = search.bm25(docs, "the ontion que", "doc_id", "text").select("id", F.round("score", 6).alias("score"))
+    return search.refined(hits.join(docs.select(F.col("doc_id").alias("id"), "source", "lang"), "id"), 0.5, group_by="source", per_group=2, namespace=("lang", "en")).select("id", "place")
+
+
+@query("SELECT doc_id AS id, 2::INT AS first, 4::INT AS last, substr(text, 361, 200) || ' ' || substr(text, 541, 200) || ' ' || substr(text, 721, 200) AS text FROM documents WHERE length(text) > 920 UNION ALL SELECT doc_id, 5, 5, substr(text, 901, 200) FROM documents WHERE length(text) > 920")
+def rag_merged(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(F.length("text") > 920)
+    chunks = search.chunks(docs, "doc_id", "text", 200, 20)
+    return search.merged(chunks.where("ordinal BETWEEN 2 AND 5").select("id", "ordinal"), chunks, 610)
+
+
+@query(f"WITH RECURSIVE {_EDGES_SQL}, g(node, depth) AS (SELECT 'c1', 0::BIGINT UNION SELECT dst, depth + 1 FROM g JOIN e ON src = node WHERE depth < 2 AND (dst LIKE 'n%' OR dst LIKE 'r%')) SELECT node, min(depth) AS depth FROM g GROUP BY node HAVING node NOT LIKE 'r%'")
+def graph_in_sql(spark, sf_dir):
+    engine = Engine(spark)
+    engine.register_graph(_edges(spark, sf_dir))
+    return engine.sql("SELECT node, depth FROM graph_traverse('c1', 'lives', 'out', 2)")
+
+
+@query("SELECT 0::BIGINT AS step, 'c3' AS node UNION ALL SELECT 1, 'n' || c_nationkey FROM customer WHERE c_custkey = 3 UNION ALL SELECT 2, 'r' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 3")
+def graph_path_in_sql(spark, sf_dir):
+    engine = Engine(spark)
+    engine.register_graph(_edges(spark, sf_dir))
+    goal = engine.spark.read.parquet(f"{sf_dir}/nation.parquet").join(table(spark, sf_dir, "customer").where("c_custkey = 3"), F.col("n_nationkey") == F.col("c_nationkey")).first()["n_regionkey"]
+    return engine.sql(f"SELECT step, node FROM graph_shortest_path('c3', 'r{goal}', 'dijkstra')")
+
+
+@query("""SELECT src, dst, round(weight, 5) AS weight FROM (SELECT a.vec_id AS src, b.vec_id AS dst, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS weight,
+    row_number() OVER (PARTITION BY a.vec_id ORDER BY round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9), b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) WHERE r <= 3 AND weight >= 0.2""")
+def graph_linked_by_vector(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return graph.linked_by_vector(df.where("id % 100 = 0"), df, 3, 0.2, 8).select("src", "dst", F.round("weight", 5).alias("weight"))
+
+
+# --- more of views and streams ---------------------------------------------------------
+
+
+@query("SELECT o_custkey AS c, min(p) AS low, max(p) AS high, round(avg(p), 6) AS mean FROM (SELECT o_custkey, CASE WHEN o_orderkey % 9 = 0 THEN o_totalprice * 10 ELSE o_totalprice END AS p FROM orders) GROUP BY o_custkey")
+def view_incremental_extremes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_totalprice").alias("p"))
+    view = o.groupBy("c").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.avg("p").alias("mean"))
+    after = o.withColumn("p", F.when(F.col("k") % 9 == 0, F.col("p") * 10).otherwise(F.col("p")))
+    deltas = after.where("k % 9 = 0").withColumn("op", F.lit("U"))
+    return versions.merged_extremes(view, deltas, after, ["c"], "p").select("c", "low", "high", F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT o_custkey AS c, count(*) AS n, round(sum(o_totalprice + (CASE WHEN o_orderkey % 4 = 0 THEN 5 ELSE 0 END)), 2) AS total FROM orders GROUP BY o_custkey")
+def view_incremental_updates(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c"), F.col("o_totalprice").alias("p"))
+    view = o.groupBy("c").agg(F.count("*").alias("n"), F.sum("p").alias("total"))
+    deltas = o.where("o_orderkey % 4 = 0").select("c", (F.col("p") + 5).alias("p"), F.col("p").alias("old_p"), F.lit("U").alias("op"))
+    return versions.merged_aggregate(view, deltas, ["c"], "p").select("c", "n", F.round("total", 2).alias("total"))
+
+
+@query("SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN c_custkey % 7 = 0 THEN 'new' ELSE c_name END AS name FROM orders JOIN customer ON o_custkey = c_custkey")
+def view_incremental_join_right(spark, sf_dir):
+    left = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    right = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), F.col("c_name").alias("name"))
+    view = left.join(right, "c").select("k", "c", "name")
+    none = left.limit(0).withColumn("op", F.lit("I"))
+    changed = right.where("c % 7 = 0").select("c", F.lit("new").alias("name"), F.lit("U").alias("op"))
+    return versions.merged_join(view, left, right, none, ["c"], ["k"], changed, ["c"])
+
+
+@query("SELECT 'c' AS column_name, 'int' AS left_type, 'bigint' AS right_type UNION ALL SELECT 'd', NULL, 'string'")
+def branch_schema_diff(spark, sf_dir):
+    return versions.schema_diff(spark.createDataFrame([], "a int, c int"), spark.createDataFrame([], "a int, c long, d string"))
+
+
+@query("SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", user_id, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, true)::INT AS fresh FROM events)) GROUP BY user_id, s")
+def event_sessions(spark, sf_dir):
+    return feeds.sessions(table(spark, sf_dir, "events"), "ts", "30 minutes", ["user_id"])
+
+
+@query("SELECT event_id AS lsn, event_type AS table_name, value FROM events WHERE event_id > 100 AND event_id <= 900 AND event_type IN ('click', 'view')")
+def change_feed(spark, sf_dir):
+    path = _folder(spark, "changes")
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("lsn"), F.col("event_type").alias("table_name"), "value")
+    log.repartition(5).write.parquet(path)
+    stream = feeds.changes(feeds.change_stream(spark, path, log.schema, 2), 100, 900, ["click", "view"])  # several batches
+    return feeds.collected(stream, _folder(spark, "out"), _folder(spark, "state"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def stream_view_over_batches(spark, sf_dir):
+    """A view over a stream of several batches."""
+    path, out = _folder(spark, "changes"), _folder(spark, "view")
+    log = table(spark, sf_dir, "events").select("event_type", "value", F.lit("I").alias("op"))
+    log.repartition(6).write.parquet(path)
+    stream = feeds.change_stream(spark, path, log.schema, 2)
+    feeds.maintained_view(stream, out, ["event_type"], "value", _folder(spark, "state")).awaitTermination()
+    return spark.read.parquet(f"{out}/v=3").select("event_type", "n", F.round("total", 4).alias("total"))

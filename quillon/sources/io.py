@@ -71,8 +71,9 @@ def inserts(df: DataFrame, table: str) -> DataFrame:
         text = c.cast("string") if plain else F.concat(F.lit("'"), F.replace(c.cast("string"), F.lit("'"), F.lit("''")), F.lit("'"))
         return F.coalesce(text, F.lit("NULL"))
 
-    names = ", ".join(df.columns)
-    return df.select(F.concat(F.lit(f"INSERT INTO {table} ({names}) VALUES ("), F.concat_ws(", ", *(value(n, k) for n, k in df.dtypes)), F.lit(");")).alias("value"))
+    quoted = lambda x: '"' + x.replace('"', '""') + '"'
+    names = ", ".join(map(quoted, df.columns))
+    return df.select(F.concat(F.lit(f"INSERT INTO {quoted(table)} ({names}) VALUES ("), F.concat_ws(", ", *(value(n, k) for n, k in df.dtypes)), F.lit(");")).alias("value"))
 
 
 def dump(tables: dict[str, DataFrame], path: str) -> None:
