@@ -18,8 +18,9 @@ slots, and held at the same coverage.
 Only the benchmark's window hashes are broadcast, and only while they are fewer than
 ``BROADCAST_ROWS``; beyond that the windows are shuffled.  A window of slots alone is
 left out: the item's other tokens, half of it at least, are covered without.  Null
-texts have no tokens and match nothing; repeated documents and items give a row each;
-empty tables give an empty result.
+texts have no tokens and match nothing; repeated documents and items are found each, and the
+query gives one row a pair of ids; texts of any length are whole; empty tables give an empty
+result.
 """
 
 from __future__ import annotations

@@ -76,6 +76,6 @@ def test_empty_table(table):
 def test_query_digest(table, spark, tmp_path):
     t = ["q" * 450, "q" * 450, "z"]
     table(rows(t)).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.op1_suffix_dedup(spark, f"file://{tmp_path}").collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.text) for r in substrings.op1_suffix_dedup(spark, f"file://{tmp_path}").collect()}
     none = hashlib.sha256(b"").hexdigest()
-    assert got == {0: (450, 450, 1, none), 1: (450, 450, 1, none), 2: (1, 0, 0, hashlib.sha256(b"z").hexdigest())}
+    assert got == {0: (450, 450, 1, none, ""), 1: (450, 450, 1, none, ""), 2: (1, 0, 0, hashlib.sha256(b"z").hexdigest(), "z")}

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillon.llm import brown, decontaminate, html, packing, quality, repair, simhash, tokens, transducer, warc
+from quillon.llm import brown, components, decontaminate, html, packing, quality, repair, simhash, tokens, transducer, warc
 from quillon.llm.common import WORD
 from quillon.llm.tokens import WordIds, token_path
 
@@ -68,11 +68,10 @@ def test_chances_of_all_words_sum_to_one():
         assert math.isclose((10 ** model.log(np.full(len(states), before), states, counts)).sum(), 1, rel_tol=1e-9)
 
 
-def test_counts_of_many_bits(monkeypatch):
-    monkeypatch.setattr(brown, "COUNT_BITS", 3)
-    keys, n = np.array([1, 4, 9]), np.array([30, 7, 8])
-    found = brown.unpacked(pa.chunked_array([pa.array([brown.packed(keys, n).tobytes(), brown.packed(keys[1:], n[1:]).tobytes()])]))
-    assert [x.tolist() for x in found] == [[1, 4, 9], [30, 14, 16]]
+def test_packed_counts():
+    keys, n = np.array([0, 4, 300, 810, 100_000]), np.array([1, 255, 256, 700, 3])
+    found = brown.unpacked(pa.chunked_array([pa.array([brown.packed(keys, n), brown.packed(keys[1:], n[1:]), brown.packed(keys[:0], n[:0])])]))
+    assert [x.tolist() for x in found] == [keys.tolist(), [1, *(2 * n[1:]).tolist()]]
 
 
 def test_scores_of_messy_tables(clash):
@@ -350,6 +349,27 @@ def test_near_duplicates_are_similar(table):
     assert len({r.root for r in simhash.near_classes(table(rows([line + t for t in texts[:40:2]]))).collect()}) == 20
 
 
+@pytest.mark.parametrize("chunk", [3, 40, 10**6])
+def test_components_are_those_of_union_find(spark, monkeypatch, chunk):
+    monkeypatch.setattr(components, "CHUNK", chunk)
+    rnd = random.Random(chunk)
+    edges = [(rnd.randrange(120), rnd.randrange(120)) for _ in range(70)] + [(i, i + 1) for i in range(200, 240)] + [(300, i) for i in range(301, 360)] + [(5, 5), (-7, 9)]
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for u, v in edges:
+        a, b = sorted((find(u), find(v)))
+        root[b] = a
+    want = {i: find(i) for i in root if find(i) != i}
+    df = spark.createDataFrame(edges + edges[:9], "u long, v long").repartition(9)
+    assert {r.u: r.root for r in components.components(df).collect()} == want
+    assert components.components(df.limit(0)).count() == 0
+
+
 def test_simhash_of_an_empty_table(table):
     assert simhash.classes(simhash.fingerprints(table([]), 4)).count() == 0
     assert simhash.one_of_each(table([])).count() == 0
