@@ -31,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -407,19 +407,22 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return judged(df, verdicts.groupBy("shard"), length)
 
 
+def kept_text() -> Column:
+    """What is left as text; a character that a cut would split goes as a whole."""
+    whole = F.col("kept").cast("string")
+    return F.when(F.is_valid_utf8(whole), whole).otherwise(F.regexp_replace(F.make_valid_utf8(whole), "\ufffd", ""))
+
+
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     df = repeats_removed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
-    return df.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return df.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), kept_text().alias("text"))
 
 
 def dedup_stage(docs: DataFrame, length: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows with their own columns; the text is what is left of it, and ``n_chars``
-    its characters.  A character that a cut would split goes as a whole."""
-    df = repeats_removed(docs, id_col, text_col, length, carry=True)
-    whole = F.col("kept").cast("string")
-    text = F.when(F.is_valid_utf8(whole), whole).otherwise(F.regexp_replace(F.make_valid_utf8(whole), "\ufffd", ""))
-    df = df.withColumn("_q_text", text)
+    its characters."""
+    df = repeats_removed(docs, id_col, text_col, length, carry=True).withColumn("_q_text", kept_text())
 
     def column(name: str):
         if name == id_col:
