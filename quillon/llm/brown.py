@@ -205,7 +205,8 @@ def dictionaries(vocabulary: DataFrame, classes: DataFrame, with_counts: bool =
 
     counts = vocabulary.where("shard = -1").select("bucket", F.col("numbers").alias("counts"))
     given = classes.join(counts, "bucket") if with_counts else classes.withColumn("counts", F.lit(b""))
-    df = vocabulary.where("shard >= 0").join(given, "bucket").select("shard", "bucket", "numbers", "class", "counts")
+    df = vocabulary.where("shard >= 0").join(given.hint("merge"), "bucket")  # grows with the vocabulary: no broadcast
+    df = df.select("shard", "bucket", "numbers", "class", "counts")
     return df.mapInArrow(run, "shard long, bucket int, numbers binary, state binary")
 
 

@@ -9,15 +9,15 @@ document, item and offset, and those at near offsets once more, for what was put
 left out between them.  A document holds an item if at least ``COVERAGE`` of the item's
 tokens are covered and the slots are consistent: each value in the item stands for one
 value of its type in the document throughout.  So a question with other numbers or names
-is caught, and one that merely uses the same phrases is not.  An item that is mostly
-slots is no template.
+is caught, and one that merely uses the same phrases is not.  Of an item that is mostly
+slots, such as a short sum, all that windows with a word in them cover has to be covered.
 
 Every item is also looked for word for word, by windows of lower-cased tokens without
 slots, and held at the same coverage.
 
 Only the benchmark's window hashes are broadcast, and only while they are fewer than
 ``BROADCAST_ROWS``; beyond that the windows are shuffled.  A window of slots alone is
-left out: the item's other tokens, half of it at least, are covered without.  Null
+left out: any row of numbers would match it.  Null
 texts have no tokens and match nothing; repeated documents and items are found each, and the
 query gives one row a pair of ids; texts of any length are whole; empty tables give an empty
 result.
@@ -84,9 +84,18 @@ def template(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return benchmark.select(F.col(id_col).cast("long").alias("item_id"), canon.alias("canon"), raw.alias("item_raw")).where(F.size("canon") > 0)
 
 
+def coverable() -> Column:
+    """The places of an item that a window with a word in it covers."""
+    size = F.least("n_item", F.lit(WINDOW))
+    worded = lambda q: F.exists(F.slice("canon", q + 1, size), lambda t: ~is_slot(t))
+    starts = F.filter(F.sequence(F.lit(0), F.col("n_item") - size), worded)
+    return F.filter(F.sequence(F.lit(0), F.col("n_item") - 1), lambda i: F.exists(starts, lambda q: (q <= i) & (i < q + size)))
+
+
 def consistent(df: DataFrame, coverage: float) -> DataFrame:
     """Of groups of ``places`` those that cover enough with one value for each of the item's."""
-    df = df.withColumn("n_covered", F.size(F.array_distinct(F.transform("places", lambda p: p["i"])))).where(F.col("n_covered") >= coverage * F.col("n_item"))
+    enough = F.coalesce(F.col("all_of"), coverage * F.col("n_item"))
+    df = df.withColumn("n_covered", F.size(F.array_distinct(F.transform("places", lambda p: p["i"])))).where(F.col("n_covered") >= enough)
     slots = F.filter("places", lambda p: is_slot(F.get("canon", p["i"])))
     pair = lambda p: F.struct(F.get("canon", p["i"]).alias("kind"), F.lower(F.get("item_raw", p["i"])).alias("a"), p["t"].alias("b"))
     df = df.withColumn("pairs", F.array_distinct(F.transform(slots, pair)))
@@ -97,7 +106,8 @@ def consistent(df: DataFrame, coverage: float) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame, form, id_col: str, text_col: str, coverage: float) -> DataFrame | None:
     """The columns of ``leaks`` by the tokens that ``form`` gives; None without items."""
     items = template(benchmark, form=form).withColumn("n_item", F.size("canon"))
-    items = written(items.where(F.size(F.filter("canon", is_slot)) * 2 <= F.col("n_item")), "items")
+    mostly = F.size(F.filter("canon", is_slot)) * 2 > F.col("n_item")
+    items = written(items.withColumn("all_of", F.when(mostly, F.size(coverable()))), "items")
     sizes = [r[0] for r in items.select(F.least("n_item", F.lit(WINDOW))).distinct().collect()]  # at most WINDOW numbers
     canon, raw = form(F.col(text_col))
     rows = docs.select(*ROW, F.col(id_col).alias("doc_id"), canon.alias("canon"), raw.alias("raw"))
