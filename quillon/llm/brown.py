@@ -108,11 +108,11 @@ def tokenized(docs: DataFrame) -> DataFrame:
         hashes, same = np.unique(np.array([digest(w) for w in distinct.to_pylist()], np.uint64), return_inverse=True)
         tokens = np.full(len(number) + len(n), -1, np.int32)
         tokens[np.arange(len(number)) + np.repeat(np.arange(len(n)), n)] = same.astype(np.int32)[number]
-        out = table["held_out"].to_numpy()
-        train = tokens[np.repeat(~out, n + 1)]
+        flags = table["held_out"].to_numpy()
+        train = tokens[np.repeat(~flags, n + 1)]
         counts = np.bincount(train[train >= 0], minlength=len(hashes)).astype(np.int64)
         row = {"shard": [TaskContext.get().partitionId() << 32 | k], "ids": [table["doc_id"].to_pylist()]}
-        return pa.RecordBatch.from_pydict(row | {k: [x.tobytes()] for k, x in (("held", out), ("lengths", n + 1), ("tokens", tokens), ("words", hashes), ("counts", counts))}, schema=schema)
+        return pa.RecordBatch.from_pydict(row | {k: [x.tobytes()] for k, x in (("held", flags), ("lengths", n + 1), ("tokens", tokens), ("words", hashes), ("counts", counts))}, schema=schema)
 
     schema = pa.schema([("shard", pa.int64()), ("ids", pa.list_(pa.int64())), *((k, pa.binary()) for k in ("held", "lengths", "tokens", "words", "counts"))])
     return docs.mapInArrow(shards, "shard long, ids array<long>, held binary, lengths binary, tokens binary, words binary, counts binary")
@@ -206,8 +206,7 @@ def dictionaries(vocabulary: DataFrame, classes: DataFrame, with_counts: bool =
     counts = vocabulary.where("shard = -1").select("bucket", F.col("numbers").alias("counts"))
     given = classes.join(counts, "bucket") if with_counts else classes.withColumn("counts", F.lit(b""))
     df = vocabulary.where("shard >= 0").join(given.hint("merge"), "bucket")  # grows with the vocabulary: no broadcast
-    df = df.select("shard", "bucket", "numbers", "class", "counts")
-    return df.mapInArrow(run, "shard long, bucket int, numbers binary, state binary")
+    return df.select("shard", "bucket", "numbers", "class", "counts").mapInArrow(run, "shard long, bucket int, numbers binary, state binary")
 
 
 class Shard:
