@@ -27,8 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, freed, identified, mixed, named, new_path, rows_of, written
-from .components import components
+from .common import ROW, freed, identified, mixed, named, new_path, partitions, rows_of, written
+from .components import components, least_reached
+from .repair import gathered
 
 SEED, RADIUS, PASS_BITS = 42, 4, 3
 BUCKET_VARIANTS, CHUNK = 1_000_000, 65_536
@@ -199,14 +200,17 @@ def op10_simhash_balls(spark, sf_dir: str) -> DataFrame:
 #: Two texts with a similarity of 0.8 differ in a share of acos(2 s / (1 + s)) / pi = 0.151 of the
 #: bits; of those pairs 12 in 100 have two or fewer differing bits in a table, and nearly all have in
 #: one of 60, unrelated texts hardly ever.
-STAGE_WORDS, HASHES, TABLES, SHORT, SHORT_RADIUS, TABLES_A_PASS, TABLE_BUCKET = 5, 6, 60, 32, 2, 4, 100_000
+STAGE_WORDS, HASHES, TABLES, SHORT, SHORT_RADIUS, TABLES_A_PASS, TABLE_BUCKET = 5, 6, 60, 32, 2, 4, 250_000
 SKETCH, SIMILARITY = 64 * HASHES, 0.8
-#: Pairs that differ in a larger share of bits aren't compared: five deviations above 0.151.
+#: Texts that differ in a larger share of bits don't meet: five deviations above 0.151.
 MOST_DIFFERENT = 0.25
-#: Of a group that meets, all are linked to one another up to FEW, and to CENTRES of them beyond.
-FEW, CENTRES = 8, 4
-#: One link in so many is compared first.
-FIRST_PART = 4
+#: Groups of up to FEW are compared in one array operation.
+FEW = 8
+#: Of eight shingles so many, by their hash, are looked for in other texts; a bucket's shingles.
+LOOKED_FOR, SHINGLE_BUCKETS, SHINGLE_BUCKET = 3, 64, 1_000_000
+#: The texts and the bytes of their shingles that are compared at once are twice these at most.
+BLOCK, BLOCK_BYTES = 512, 1 << 26
+FPS = ["fp", *(f"fp{k}" for k in range(1, HASHES))]
 
 
 def table_bits(table: int) -> np.ndarray:
@@ -222,11 +226,39 @@ def start_and_size(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(keys)))
 
 
-def met_tables(sketches: DataFrame, n: int) -> DataFrame:
-    """Links (u, v) between ids whose short fingerprints meet at a variant in some table."""
-    spark, names = sketches.sparkSession, [c for c in sketches.columns if c.startswith("fp")]
+def parts_of(b: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal buckets begins and ends."""
+    start, size = start_and_size(b)
+    return list(zip(start.tolist(), (start + size).tolist(), strict=True))
+
+
+def joined(arrays, kind) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in arrays)])
+
+
+def near_groups(fps: np.ndarray, most: int) -> np.ndarray:
+    """For each sketch the place of one that links of at most ``most`` differing bits lead to:
+    the same for all that they lead to one another."""
+    group, left = np.full(len(fps), -1), np.arange(len(fps))
+    while len(left):
+        root, left = left[0], left[1:]
+        group[root], reached = root, np.array([root])
+        while len(reached) and len(left):
+            some, reached = reached[:64], reached[64:]
+            near = (np.bitwise_count(fps[left][:, None] ^ fps[some][None]).sum(2, dtype=np.int64) <= most).any(1)
+            group[left[near]] = root
+            reached, left = np.concatenate([reached, left[near]]), left[~near]
+    return group
+
+
+def met_tables(sketches: DataFrame, tables_a_pass: int = TABLES_A_PASS) -> DataFrame:
+    """Links (u, v) whose components are those of all pairs of ids whose short fingerprints meet at
+    a variant in some table and whose sketches differ in few bits.
+
+    All pairs of a group that meets count, whatever its size; a bucket gives a link a member."""
+    spark, most = sketches.sparkSession, int(MOST_DIFFERENT * SKETCH)
     masks = np.array([m for m in ball(SHORT_RADIUS // 2) if m < (1 << SHORT)], np.uint64)
-    buckets = max(1, -(-n * len(masks) * TABLES_A_PASS // TABLE_BUCKET))
+    buckets = max(1, -(-sketches.count() * len(masks) * tables_a_pass // TABLE_BUCKET))
     path = new_path(spark, "links")
 
     def emit(tables: range):
@@ -237,124 +269,215 @@ def met_tables(sketches: DataFrame, n: int) -> DataFrame:
                 for at in range(0, batch.num_rows, 4000):
                     part = batch.slice(at, 4000)
                     ids = part.column(0).to_numpy()
-                    bits = np.concatenate([np.unpackbits(c.to_numpy().copy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") for c in part.columns[1:]], 1)
+                    fps = np.stack([c.to_numpy() for c in part.columns[1:]], 1)
+                    bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
                     keys = []
                     for t, own in chosen.items():
                         short = np.packbits(bits[:, own], axis=1, bitorder="little").copy().view("<u4").astype(np.uint64).ravel()
                         keys.append(((short[:, None] ^ masks[None, :]) | np.uint64(t << SHORT)).ravel())
                     keys = np.concatenate(keys)
-                    who = np.tile(np.repeat(ids, len(masks)), len(chosen))
-                    b = ((mixed(keys) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                    b = b.astype(np.uint16 if buckets <= 65536 else np.uint32)
+                    who = np.tile(np.repeat(np.arange(len(ids)), len(masks)), len(chosen))
+                    b = (((mixed(keys) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
                     order = np.argsort(b, kind="stable")
                     keys, who, b = keys[order], who[order], b[order]
-                    cuts = [0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)]
-                    spans = [(x, y) for x, y in zip(cuts, cuts[1:]) if y > x]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(b[x]) for x, _ in spans], pa.int64()), *(pa.array([z[x:y].tobytes() for x, y in spans], pa.binary()) for z in (keys, who))], names=["bucket", "keys", "ids"]
-                    )
+                    out = []
+                    for x, y in parts_of(b):
+                        own, place = np.unique(who[x:y], return_inverse=True)
+                        out.append((int(b[x]), keys[x:y].tobytes(), place.astype(np.uint16).tobytes(), ids[own].tobytes(), fps[own].tobytes()))
+                    columns = [list(c) for c in zip(*out, strict=True)] or [[]] * 5
+                    kinds = [pa.int64(), *[pa.binary()] * 4]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "keys", "places", "ids", "fps"])
 
         return run
 
     def link(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table["keys"]])
-        who = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table["ids"]])
+        keys, ids = joined(table["keys"], np.uint64), joined(table["ids"], np.int64)
+        fps = joined(table["fps"], np.uint64).reshape(-1, HASHES)
+        before = np.cumsum([0, *(len(x.as_buffer()) // 8 for x in table["ids"])])
+        who = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) + n for x, n in zip(table["places"], before[:-1], strict=True)])
         order = np.argsort(keys)
         keys, who = keys[order], who[order]
         start, size = start_and_size(keys)
-        many = np.repeat(size > 1, size)
-        keys, who = keys[many], who[many]
-        # The centres are the least by some hashes of the id: mostly the same ones in every group of a class.
-        pairs = [np.empty((0, 2), np.int64)]
-        start, size = start_and_size(keys)
-        small = np.repeat(size <= FEW, size)
+        small, pairs = np.repeat(size <= FEW, size), [np.empty((0, 2), np.int64)]
         for step in range(1, FEW):
-            near = np.flatnonzero((keys[step:] == keys[:-step]) & small[step:]) if len(keys) > step else np.empty(0, np.int64)
-            pairs.append(np.stack([who[near], who[near + step]], 1))
-        keys, who = keys[~small], who[~small]
-        for k in range(CENTRES):
-            rank = mixed(who.view(np.uint64) + np.uint64(k + 1))
-            order = np.lexsort((rank, keys))
-            keys, who = keys[order], who[order]
-            start, size = start_and_size(keys)
-            pairs.append(np.stack([who, np.repeat(who[start], size)], 1))
-        pairs = np.sort(np.concatenate(pairs), axis=1)
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-        return pa.table({"u": pa.array(pairs[:, 0].copy()), "v": pa.array(pairs[:, 1].copy())})
-
-    for at in range(0, TABLES, TABLES_A_PASS):
+            at = np.flatnonzero((keys[step:] == keys[:-step]) & small[step:]) if len(keys) > step else np.empty(0, np.int64)
+            a, b = who[at], who[at + step]
+            near = np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64) <= most
+            pairs.append(np.stack([a[near], b[near]], 1))
+        label = np.arange(len(ids))  # members that larger groups have led to one another
+        for k in np.argsort(-size, kind="stable")[: (size > FEW).sum()]:
+            own = who[start[k] : start[k] + size[k]]
+            if (label[own] == label[own[0]]).all():
+                continue
+            group = near_groups(fps[own], most)
+            pairs.append(np.stack([own, own[group]], 1))
+            for root in np.unique(group):
+                old = np.unique(label[own[group == root]])
+                if len(old) > 1:
+                    label[np.isin(label, old)] = old[0]
+        pairs = np.concatenate(pairs)
+        u, v = least_reached(ids[pairs[:, 0]], ids[pairs[:, 1]])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    for at in range(0, TABLES, tables_a_pass):
         freed(spark)
-        sent = sketches.select("id", *names).mapInArrow(emit(range(at, min(TABLES, at + TABLES_A_PASS))), "bucket long, keys binary, ids binary")
+        sent = sketches.select("id", *FPS).mapInArrow(emit(range(at, min(TABLES, at + tables_a_pass))), "bucket long, keys binary, places binary, ids binary, fps binary")
         sent.groupBy("bucket").applyInArrow(link, "u long, v long").write.parquet(f"{path}/pass={at}")
         del sent
-    return spark.read.parquet(path).select("u", "v").distinct()
+    return spark.read.parquet(path).select("u", "v")
 
 
-def sketched(docs: DataFrame, size: int) -> DataFrame:
-    """Row key, doc_id, ``id`` (a digest of the set of shingles) and the sketch of that set."""
-    names = ["fp", *(f"fp{k}" for k in range(1, HASHES))]
+def shingled(docs: DataFrame, size: int) -> DataFrame:
+    """Row key, doc_id, ``id`` (a digest of the set of shingles), the number of the set's shingles
+    and a share of them by their hash."""
 
     def run(batches):
         for batch in batches:
-            *own, texts = zip(*rows_of([batch]), strict=True) if batch.num_rows else [()] * (len(ROW) + 2)
-            sets = (shingle_set(t, size) for t in texts)
-            out = [(xxhash.xxh64_intdigest(x.tobytes(), SEED), majority([x], HASHES)) for x in sets]
-            ids = np.array([x for x, _ in out], np.uint64).view(np.int64)
-            fps = np.array([x for _, x in out], np.uint64).reshape(-1, HASHES).view(np.int64)
-            columns = [*(pa.array(c, pa.int64()) for c in own), pa.array(ids), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(HASHES))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*ROW, "doc_id", "id", *names])
+            out = []
+            for *own, text in rows_of([batch]):
+                x = shingle_set(text, size)
+                out.append((*own, xxhash.xxh64_intdigest(x.tobytes(), SEED), len(x), x[(x & np.uint64(7)) < LOOKED_FOR].tobytes()))
+            *own, ids, n, some = zip(*out, strict=True) if out else [()] * (len(ROW) + 4)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in own), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(some, pa.binary())], names=[*ROW, "doc_id", "id", "n", "some"])
 
     df = docs.select(*ROW, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return df.mapInArrow(run, ", ".join(f"{c} long" for c in [*ROW, "doc_id", "id", *names]))
+    return df.mapInArrow(run, ", ".join(f"{c} long" for c in [*ROW, "doc_id", "id", "n"]) + ", some binary")
 
 
-def similar(links: DataFrame, docs: DataFrame, firsts: DataFrame, size: int, least: float) -> DataFrame:
-    """The links (u, v) whose sets of shingles have ``least`` of their shingles in common.
+def alone(rows: DataFrame) -> DataFrame:
+    """``id`` and how many of the shingles looked for are in no other set.
 
-    ``firsts``: id and row key of one text of each set."""
+    Of a shingle the least and the largest id are sent from each batch."""
+    total = rows.agg(F.sum(F.octet_length("some"))).first()[0] or 0
+    buckets = max(SHINGLE_BUCKETS, -(-total // 8 // SHINGLE_BUCKET))
 
-    def to_sets(batches):
-        for batch in batches:
-            out = [(i, shingle_set(t, size).tobytes()) for i, t in rows_of([batch])]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["id", "s"])
+    def ends(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(h)
+        h, lo, hi = h[order], lo[order], hi[order]
+        start, _ = start_and_size(h)
+        return (h[start], np.minimum.reduceat(lo, start), np.maximum.reduceat(hi, start)) if len(h) else (h, lo, hi)
 
-    def verified(batches):
+    def emit(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
-                a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(a) + len(b) - len(np.union1d(a, b)) if min(len(a), len(b)) >= least * max(len(a), len(b)) else 0
-                keep.append(both >= least * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for at in range(0, batch.num_rows, 4000):
+                part = batch.slice(at, 4000)
+                ids = np.repeat(part.column(0).to_numpy(), [len(x.as_buffer()) // 8 for x in part.column(1)])
+                h, lo, hi = ends(joined(part.column(1), np.uint64), ids, ids)
+                b = (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+                cuts = parts_of(b)
+                yield pa.RecordBatch.from_arrays([pa.array([int(b[x]) for x, _ in cuts], pa.int64()), *(pa.array([z[x:y].tobytes() for x, y in cuts], pa.binary()) for z in (h, lo, hi))], names=["bucket", "h", "lo", "hi"])
+
+    def count(table: pa.Table) -> pa.Table:
+        _, lo, hi = ends(joined(table["h"], np.uint64), joined(table["lo"], np.int64), joined(table["hi"], np.int64))
+        ids, n = np.unique(lo[lo == hi], return_counts=True)
+        return pa.table({"id": pa.array(ids, pa.int64()), "alone": pa.array(n, pa.int64())})
+
+    sent = rows.select("id", "some").mapInArrow(emit, "bucket long, h binary, lo binary, hi binary")
+    return sent.groupBy("bucket").applyInArrow(count, "id long, alone long").groupBy("id").agg(F.sum("alone").alias("alone"))
 
-    needed = links.select(F.col("u").alias("id")).union(links.select("v")).distinct()
-    texts = docs.select(*ROW, F.coalesce("text", F.lit("")).alias("text")).join(firsts.join(needed, "id"), ROW).select("id", "text")
-    sets = written(texts.mapInArrow(to_sets, "id long, s binary"), "sets")
-    side = lambda x, y: sets.select(F.col("id").alias(x), F.col("s").alias(y))
-    return links.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(verified, "u long, v long")
+
+def sketched(texts: DataFrame, size: int) -> DataFrame:
+    """``id``, the sketch and the set of shingles of every (id, text)."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sets = [shingle_set(t, size) for _, t in rows_of([part])]
+                fps = np.array([majority([x], HASHES) for x in sets], np.uint64).reshape(-1, HASHES).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(HASHES)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", *FPS, "s"])
+
+    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in ["id", *FPS]) + ", s binary")
+
+
+def alike(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """Pairs of places of sets with ``least`` of their shingles in common, whose components are
+    those of all such pairs: every set is held against all that aren't yet reached."""
+    n = np.array([len(x) for x in sets], np.int64)
+    begin = np.cumsum(n) - n
+    _, shingle, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    who, pairs = np.repeat(np.arange(len(sets)), n), [np.empty((0, 2), np.int64)]
+    # What is in no other set counts against a set whatever it is held against.
+    left = np.bincount(who[times[shingle] > 1], minlength=len(sets)) >= least * n
+    held = size = start = None
+
+    def indexed():
+        """The sets that aren't reached, by shingle."""
+        nonlocal held, size, start, number
+        some = np.flatnonzero(left[who])
+        held = who[some[np.argsort(shingle[some], kind="stable")]]
+        size = np.bincount(shingle[some], minlength=len(times))
+        start, number = np.cumsum(size) - size, int(left.sum())
+
+    number = 0
+    indexed()
+    for first in range(len(sets)):
+        if not left[first]:
+            continue
+        left[first], reached = False, [first]
+        while reached:
+            a = reached.pop()
+            if 2 * (now := int(left.sum())) < number:
+                indexed()
+            if not now:
+                break
+            own = shingle[begin[a] : begin[a] + n[a]]
+            both = np.bincount(held[gathered(start[own], size[own])], minlength=len(sets))
+            found = np.flatnonzero(left & (both >= least * (n[a] + n - both)))
+            left[found] = False
+            pairs.append(np.stack([np.full(len(found), a), found], 1))
+            reached += found.tolist()
+    return np.concatenate(pairs)
+
+
+def similar(met: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (u, v) whose components are those of all pairs within a component ``met`` (id, root)
+    whose sets of shingles have ``least`` of their shingles in common.
+
+    A component is compared whole; a larger one than ``BLOCK`` is dealt into blocks, and every
+    two blocks are compared."""
+    spark = sets.sparkSession
+    members = written(sets.select("id", "s").join(met, "id"), "members")
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum(F.octet_length("s")) / F.lit(BLOCK_BYTES))).alias("blocks"))
+    total = members.agg(F.sum(F.octet_length("s"))).first()[0] or 0
+    own, other = F.col("own"), F.col("other")
+    dealt = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("blocks = 1 OR own <> other")
+    whole, bags = F.col("blocks") == 1, max(partitions(spark), -(-total // (BLOCK_BYTES // 4)))
+    place = F.when(whole, F.pmod(F.xxhash64("root"), F.lit(bags))).otherwise(F.col("root"))
+    dealt = dealt.select(whole.alias("whole"), place.alias("place"), F.least(own, other).alias("a"), F.greatest(own, other).alias("b"), "root", "id", "s")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("root")
+        ids, found = table["id"].to_numpy(), [np.empty((0, 2), np.int64)]
+        for x, y in parts_of(table["root"].to_numpy()):
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table["s"].slice(x, y - x)]
+            found.append(ids[x + alike(sets, least)])
+        found = np.concatenate(found)
+        return pa.table({"u": pa.array(found[:, 0].copy(), pa.int64()), "v": pa.array(found[:, 1].copy(), pa.int64())})
+
+    return dealt.groupBy("whole", "place", "a", "b").applyInArrow(compare, "u long, v long")
 
 
 def near_classes(docs: DataFrame, size: int = STAGE_WORDS, least: float = SIMILARITY) -> DataFrame:
     """Row key, doc_id and class (``root``) of every row; classes are the connected components
-    of texts with a similarity of ``least`` or more, which is verified on the shingles."""
-    names = ["fp", *(f"fp{k}" for k in range(1, HASHES))]
+    of texts with a similarity of ``least`` or more, which is verified on the shingles.
+
+    A text too many of whose shingles are in no other text has no partner and isn't sketched."""
     docs = identified(docs)
-    rows = written(sketched(docs, size), "sketches")
-    distinct = written(rows.groupBy("id", *names).agg(F.min(F.struct(*ROW)).alias("first")), "distinct")
-    links = written(met_tables(distinct, distinct.count()), "candidates")
-    side = lambda x: distinct.select(F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in names))
-    apart = sum((F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) for c in names), F.lit(0))
-    near = written(links.join(side("u"), "u").join(side("v"), "v").where(apart <= int(MOST_DIFFERENT * SKETCH)).select("u", "v"), "near")
-    # A part of the links first: those that then join texts of one class already needn't be compared.
-    firsts, some = distinct.select("id", "first.*"), F.pmod(F.xxhash64("u", "v"), F.lit(FIRST_PART)) == 0
-    found = written(components(similar(near.where(some), docs, firsts, size, least)), "first-roots")
-    root = lambda x: found.select(F.col("u").alias(x), F.col("root").alias(f"{x}_root"))
-    rest = near.where(~some).join(root("u"), "u", "left").join(root("v"), "v", "left")
-    rest = written(rest.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"), "rest")
-    more = similar(rest, docs, firsts, size, least)
-    roots = components(found.select("u", F.col("root").alias("v")).union(more))
-    of_id = distinct.select("id").join(roots.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    return rows.join(written(of_id, "classes"), "id").select(*ROW, "doc_id", "root")
+    rows = written(shingled(docs, size), "shingled")
+    distinct = rows.groupBy("id").agg(F.min(F.struct(*ROW)).alias("first"), F.first("n").alias("n"))
+    distinct = distinct.join(alone(rows), "id", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    distinct = written(distinct.select("id", "first.*", (F.col("n") - F.col("alone") >= F.lit(least) * F.col("n")).alias("may")), "distinct")
+    texts = docs.select(*ROW, F.coalesce("text", F.lit("")).alias("text")).join(distinct.where("may").drop("may"), ROW).select("id", "text")
+    sets = written(sketched(texts, size), "sketches")
+    # Sketches go with their variants, so that no more of these are on disk than the texts take.
+    a_pass = max(1, min(TABLES_A_PASS, distinct.count() // max(1, sets.count())))
+    met = written(components(met_tables(sets, a_pass)), "met")
+    met = met.select(F.col("u").alias("id"), "root").union(met.select("root", "root").distinct())
+    roots = written(components(similar(met, sets, least)), "roots")
+    classed = rows.select(*ROW, "doc_id", "id").join(roots.withColumnRenamed("u", "id"), "id", "left")
+    return classed.select(*ROW, "doc_id", F.coalesce("root", "id").alias("root"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

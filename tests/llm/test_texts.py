@@ -349,6 +349,56 @@ def test_near_duplicates_are_similar(table):
     assert len({r.root for r in simhash.near_classes(table(rows([line + t for t in texts[:40:2]]))).collect()}) == 20
 
 
+def brute_classes(sets, least=0.8):
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= least * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_near_classes_of_a_large_group_are_those_of_all_its_pairs(table, monkeypatch, block):
+    """Copies of one text, of which few have a neighbour and hardly any the same one."""
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    rnd = random.Random(31)
+    base, texts = [f"w{rnd.randrange(10**6)}" for _ in range(300)], []
+    for _ in range(150):
+        one = list(base)
+        for _ in range(rnd.randint(1, 4)):
+            at, n = rnd.randrange(270), rnd.randint(8, 20)
+            one[at : at + n] = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+        texts.append(one)
+        if rnd.random() < 0.3:
+            at = rnd.randrange(280)
+            texts.append([*one[:at], *(f"x{rnd.randrange(10**6)}" for _ in range(12)), *one[at + 12 :]])
+    rnd.shuffle(texts)
+    want = brute_classes([{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts])
+    got = {r.doc_id: r.root for r in simhash.near_classes(table(rows([" ".join(t) for t in texts]))).collect()}
+    first = {}
+    assert [first.setdefault(got[i], i) for i in range(len(texts))] == want
+    assert len(set(want)) > 20 and max(Counter(want).values()) > 20
+
+
+def test_alike_sets_are_those_of_brute_force():
+    rnd = random.Random(7)
+    for _ in range(40):
+        sets = [set(rnd.sample(range(14), rnd.randint(1, 10))) for _ in range(rnd.randint(1, 25))] + [set()] * rnd.randint(0, 1)
+        root = list(range(len(sets)))
+        for a, b in simhash.alike([np.array(sorted(x), np.uint64) for x in sets], 0.8).tolist():
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = [new if r == old else r for r in root]
+        assert root == brute_classes(sets)
+
+
 @pytest.mark.parametrize("chunk", [3, 40, 10**6])
 def test_components_are_those_of_union_find(spark, monkeypatch, chunk):
     monkeypatch.setattr(components, "CHUNK", chunk)
