@@ -40,21 +40,26 @@ from .tokens import token_path, word_ids
 
 MAGIC = b"QRP2"
 BLOCK_TOKENS, LEAST_COUNT, FALL, HASH_BITS = 1_000_000, 3, 0.5, 20
+#: For pairs that occur as often as this, fewer cells, which the processor's cache holds, sort out enough.
+FEW_CELLS_FROM, FEW_CELLS_BITS = 128, 16
 #: Stands for a document's end while pairs are counted; never part of a pair.
 END = np.uint32(0xFFFFFFFF)
 FAR = np.int64(1 << 60)
 
 
-def counted_pairs(s: np.ndarray, bound: int | None, least: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+def counted_pairs(s: np.ndarray, bound: int | None, least: int, at: np.ndarray | None = None) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """The bound that held (None: the count of the fullest cell), the pairs that occur as often
     (left << 32 | right) by falling frequency, the places of these and which pair is at each.
 
-    Pairs are first counted by hash; only those in cells that are full enough are sorted."""
+    Pairs are first counted by hash; only those in cells that are full enough are sorted.
+    ``at``: the only places, in order, at which pairs can be that occur as often."""
     left, right = s[:-1], s[1:]
-    h = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - HASH_BITS)
-    cells = np.bincount(h, minlength=1 << HASH_BITS)
-    bound = max(least, int(cells.max()) if bound is None else bound)
-    at = np.flatnonzero((cells >= bound)[h])
+    if at is None:
+        bits = HASH_BITS if bound is None or bound < FEW_CELLS_FROM else FEW_CELLS_BITS
+        h = ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)).astype(np.intp)
+        cells = np.bincount(h, minlength=1 << bits)
+        bound = max(least, int(cells.max()) if bound is None else bound)
+        at = np.flatnonzero((cells >= bound)[h])
     a, b = left[at], right[at]
     inner = (a != END) & (b != END)
     at = at[inner]
@@ -80,10 +85,14 @@ def settled(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def compress(s: np.ndarray, first: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and rules; rule k rewrites nonterminal ``first + k``."""
-    rules, made, bound = [np.empty((0, 2), np.uint32)], 0, None
+    """Symbols and rules; rule k rewrites nonterminal ``first + k``.
+
+    While the bound stays, only pairs that were as frequent before and those with a new symbol
+    can be as frequent: after the first round at the least bound the others aren't looked at."""
+    rules, made, bound, changed = [np.empty((0, 2), np.uint32)], 0, None, None
     while len(s) > 1:
-        bound, pairs, at, rank = counted_pairs(s, bound, least)
+        bound, pairs, at, rank = counted_pairs(s, bound, least, changed)
+        frequent, changed = at, None
         if len(at):
             keep = settled(at, rank)
             at, rank = at[keep], rank[keep]
@@ -100,7 +109,12 @@ def compress(s: np.ndarray, first: int, least: int = LEAST_COUNT) -> tuple[np.nd
             rest[at + 1] = False
             s = s.copy()
             s[at] = (first + made + number).astype(np.uint32)
+            if bound == least:
+                stay, new = frequent[rest[frequent]], at - np.arange(len(at))
+                changed = np.unique(np.concatenate([stay - np.searchsorted(at, stay), new - 1, new]))
             s, made = s[rest], made + len(pairs)
+            if changed is not None:
+                changed = changed[(changed >= 0) & (changed < len(s) - 1)]
         bound = max(least, int(bound * FALL))
     return s, np.concatenate(rules)
 

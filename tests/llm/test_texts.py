@@ -309,6 +309,26 @@ def brute_fingerprint(text, size=4):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_repair_rounds_at_the_least_bound_look_at_what_changed(monkeypatch):
+    rnd = random.Random(12)
+    words = [[rnd.randrange(40) for _ in range(rnd.randint(2, 40))] for _ in range(300)]
+    s = np.array([x for _ in range(1500) for x in (*rnd.choice(words), repair.END)], np.uint32)
+    seen, count = [], repair.counted_pairs
+
+    def spied(s, bound, least, *only):
+        found = count(s, bound, least, *only)
+        seen.append((found[0], len(only[0]) if only and only[0] is not None else len(s)))
+        whole = count(s, found[0], least)
+        assert all(np.array_equal(x, y) for x, y in zip(found[1:], whole[1:], strict=True))
+        return found
+
+    monkeypatch.setattr(repair, "counted_pairs", spied)
+    out, rules = repair.compress(s, 1 << 16)
+    assert np.array_equal(repair.expand(out[out != repair.END], rules, 1 << 16), s[s != repair.END])
+    last = [n for bound, n in seen if bound == repair.LEAST_COUNT]
+    assert len(last) > 2 and max(last[1:]) < last[0] and last[-1] < last[0] / 20
+
+
 def test_simhash_classes(table):
     base = [[f"w{RND.randrange(500)}" for _ in range(300)] for _ in range(20)]
     texts = [" ".join(b) for b in base] + [" ".join([*b[:k], "NEW", *b[k + 1 :]]) for b in base for k in (0, 299)] + [" ".join(base[0])] * 3 + [None, "", "one", "ONE"]
