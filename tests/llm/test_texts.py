@@ -385,10 +385,9 @@ def brute_classes(sets, least=0.8):
     return [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("block", [512, 16])
-def test_near_classes_of_a_large_group_are_those_of_all_its_pairs(table, monkeypatch, block):
+def test_near_classes_of_a_large_group_are_those_of_all_its_pairs(table, monkeypatch):
     """Copies of one text, of which few have a neighbour and hardly any the same one."""
-    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
     rnd = random.Random(31)
     base, texts = [f"w{rnd.randrange(10**6)}" for _ in range(300)], []
     for _ in range(150):
@@ -408,6 +407,25 @@ def test_near_classes_of_a_large_group_are_those_of_all_its_pairs(table, monkeyp
     assert len(set(want)) > 20 and max(Counter(want).values()) > 20
 
 
+def test_all_pairs_of_a_large_group_that_meets_are_linked(spark, monkeypatch):
+    """Twenty pairs of sketches meet in the first table only, all in one group."""
+    monkeypatch.setattr(simhash, "TABLES", 4)
+    rng = np.random.default_rng(5)
+    first = simhash.table_bits(0)
+    common, data = rng.integers(0, 2, len(first)), []
+    for k in range(20):
+        one = rng.integers(0, 2, simhash.SKETCH)
+        one[first] = common
+        other = one.copy()
+        for t in range(1, simhash.SKETCH // simhash.SHORT):  # eight bits of each further table: too many to meet there
+            other[simhash.table_bits(t)[:8]] ^= 1
+        for i, x in enumerate((one, other)):
+            data.append((2 * k + i, *np.packbits(x.astype(np.uint8), bitorder="little").view("<i8").tolist()))
+    df = spark.createDataFrame(data, "id long, " + ", ".join(f"{c} long" for c in ["fp", *(f"fp{k}" for k in range(1, simhash.HASHES))]))
+    links = {tuple(sorted((r.u, r.v))) for r in simhash.met_tables(df, 4).collect()}
+    assert {(2 * k, 2 * k + 1) for k in range(20)} <= links
+
+
 def test_alike_sets_are_those_of_brute_force():
     rnd = random.Random(7)
     for _ in range(40):
