@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
 from .tokens import token_path, word_ids
 
 
@@ -172,7 +173,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits
         yield from rows(packer.drain(1))
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.mapInArrow(pack, f"doc_id long, {PIECE}")
+    return texts.mapInArrow(trimmed(pack), f"doc_id long, {PIECE}")
 
 
 END_ID, VOCABULARY = 1, "word_bpe_49k.json"

@@ -19,6 +19,8 @@ result; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, freed, identified, mixed, named, new_path, partitions, rows_of, written
+from .common import ROW, discard, freed, identified, mixed, named, new_path, partitions, rows_of, trimmed, written
 from .components import components, least_reached
 from .repair import gathered
 
@@ -201,6 +203,8 @@ def op10_simhash_balls(spark, sf_dir: str) -> DataFrame:
 #: bits; of those pairs 12 in 100 have two or fewer differing bits in a table, and nearly all have in
 #: one of 60, unrelated texts hardly ever.
 STAGE_WORDS, HASHES, TABLES, SHORT, SHORT_RADIUS, TABLES_A_PASS, TABLE_BUCKET = 5, 6, 60, 32, 2, 4, 250_000
+#: A table is dealt by as many of a short fingerprint's bits at least.
+LEAST_CUT = 3
 SKETCH, SIMILARITY = 64 * HASHES, 0.8
 #: Texts that differ in a larger share of bits don't meet: five deviations above 0.151.
 MOST_DIFFERENT = 0.25
@@ -251,80 +255,101 @@ def near_groups(fps: np.ndarray, most: int) -> np.ndarray:
     return group
 
 
+def shorts(fps: np.ndarray, table: int) -> np.ndarray:
+    """The short fingerprints of sketches in a table."""
+    out = np.zeros(len(fps), np.uint64)
+    for i, b in enumerate(table_bits(table).tolist()):
+        out |= (fps[:, b >> 6] >> np.uint64(b & 63) & np.uint64(1)) << np.uint64(i)
+    return out
+
+
+def placed(short: np.ndarray, masks: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all variants of short fingerprints, told by their first ``cut`` bits, in order,
+    and whose they are: a short fingerprint is sent once to a bucket, not once a variant."""
+    heads = np.unique(masks >> np.uint64(SHORT - cut))
+    b = ((short >> np.uint64(SHORT - cut))[:, None] ^ heads[None, :]).ravel()
+    order = np.argsort(b, kind="stable")
+    return b[order].astype(np.int64), np.repeat(np.arange(len(short)), len(heads))[order]
+
+
 def met_tables(sketches: DataFrame, tables_a_pass: int = TABLES_A_PASS) -> DataFrame:
     """Links (u, v) whose components are those of all pairs of ids whose short fingerprints meet at
     a variant in some table and whose sketches differ in few bits.
 
-    All pairs of a group that meets count, whatever its size; a bucket gives a link a member."""
+    All pairs of a group that meets count, whatever its size; a bucket gives a link a member.
+    Sketches alone are sent; a bucket makes the variants that fall into it."""
     spark, most = sketches.sparkSession, int(MOST_DIFFERENT * SKETCH)
     masks = np.array([m for m in ball(SHORT_RADIUS // 2) if m < (1 << SHORT)], np.uint64)
-    buckets = max(1, -(-sketches.count() * len(masks) * tables_a_pass // TABLE_BUCKET))
+    cut = min(SHORT, max(LEAST_CUT, math.ceil(math.log2(1 + sketches.count() * len(masks) / TABLE_BUCKET))))
     path = new_path(spark, "links")
 
     def emit(tables: range):
-        chosen = {t: table_bits(t) for t in tables}
-
         def run(batches):
             for batch in batches:
                 for at in range(0, batch.num_rows, 4000):
                     part = batch.slice(at, 4000)
                     ids = part.column(0).to_numpy()
-                    fps = np.stack([c.to_numpy() for c in part.columns[1:]], 1)
-                    bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
-                    keys = []
-                    for t, own in chosen.items():
-                        short = np.packbits(bits[:, own], axis=1, bitorder="little").copy().view("<u4").astype(np.uint64).ravel()
-                        keys.append(((short[:, None] ^ masks[None, :]) | np.uint64(t << SHORT)).ravel())
-                    keys = np.concatenate(keys)
-                    who = np.tile(np.repeat(np.arange(len(ids)), len(masks)), len(chosen))
-                    b = (((mixed(keys) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-                    order = np.argsort(b, kind="stable")
-                    keys, who, b = keys[order], who[order], b[order]
+                    fps = np.stack([c.to_numpy() for c in part.columns[1:]], 1).view(np.uint64)
                     out = []
-                    for x, y in parts_of(b):
-                        own, place = np.unique(who[x:y], return_inverse=True)
-                        out.append((int(b[x]), keys[x:y].tobytes(), place.astype(np.uint16).tobytes(), ids[own].tobytes(), fps[own].tobytes()))
-                    columns = [list(c) for c in zip(*out, strict=True)] or [[]] * 5
-                    kinds = [pa.int64(), *[pa.binary()] * 4]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "keys", "places", "ids", "fps"])
+                    for t in tables:
+                        b, who = placed(shorts(fps, t), masks, cut)
+                        out += [(t, int(b[x]), ids[who[x:y]].tobytes(), fps[who[x:y]].tobytes()) for x, y in parts_of(b)]
+                    columns = [list(c) for c in zip(*out, strict=True)] or [[]] * 4
+                    kinds = [*[pa.int64()] * 2, *[pa.binary()] * 2]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["table", "bucket", "ids", "fps"])
 
         return run
 
+    def variants(short: np.ndarray, bucket: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Those in the bucket, by value, and whose they are; those of very many in several parts."""
+        parts = 1 + len(short) // TABLE_BUCKET
+        for part in range(parts):
+            keys, who = [], []
+            for m in masks:
+                key = short ^ m
+                use = key >> np.uint64(SHORT - cut) == bucket
+                if parts > 1:
+                    use &= mixed(key) % np.uint64(parts) == part
+                who.append(np.flatnonzero(use))
+                keys.append(key[use])
+            keys, who = np.concatenate(keys), np.concatenate(who)
+            order = np.argsort(keys)
+            yield keys[order], who[order]
+
     def link(table: pa.Table) -> pa.Table:
-        keys, ids = joined(table["keys"], np.uint64), joined(table["ids"], np.int64)
-        fps = joined(table["fps"], np.uint64).reshape(-1, HASHES)
-        before = np.cumsum([0, *(len(x.as_buffer()) // 8 for x in table["ids"])])
-        who = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) + n for x, n in zip(table["places"], before[:-1], strict=True)])
-        order = np.argsort(keys)
-        keys, who = keys[order], who[order]
-        start, size = start_and_size(keys)
-        small, pairs = np.repeat(size <= FEW, size), [np.empty((0, 2), np.int64)]
-        for step in range(1, FEW):
-            at = np.flatnonzero((keys[step:] == keys[:-step]) & small[step:]) if len(keys) > step else np.empty(0, np.int64)
-            a, b = who[at], who[at + step]
-            near = np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64) <= most
-            pairs.append(np.stack([a[near], b[near]], 1))
+        ids, fps = joined(table["ids"], np.int64), joined(table["fps"], np.uint64).reshape(-1, HASHES)
+        pairs = [np.empty((0, 2), np.int64)]
         label = np.arange(len(ids))  # members that larger groups have led to one another
-        for k in np.argsort(-size, kind="stable")[: (size > FEW).sum()]:
-            own = who[start[k] : start[k] + size[k]]
-            if (label[own] == label[own[0]]).all():
-                continue
-            group = near_groups(fps[own], most)
-            pairs.append(np.stack([own, own[group]], 1))
-            for root in np.unique(group):
-                old = np.unique(label[own[group == root]])
-                if len(old) > 1:
-                    label[np.isin(label, old)] = old[0]
+        for keys, who in variants(shorts(fps, table["table"][0].as_py()), table["bucket"][0].as_py()):
+            start, size = start_and_size(keys)
+            small = np.repeat(size <= FEW, size)
+            for step in range(1, FEW):
+                at = np.flatnonzero((keys[step:] == keys[:-step]) & small[step:]) if len(keys) > step else np.empty(0, np.int64)
+                a, b = who[at], who[at + step]
+                near = np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64) <= most
+                pairs.append(np.stack([a[near], b[near]], 1))
+            for k in np.argsort(-size, kind="stable")[: (size > FEW).sum()]:
+                own = who[start[k] : start[k] + size[k]]
+                if (label[own] == label[own[0]]).all():
+                    continue
+                group = near_groups(fps[own], most)
+                pairs.append(np.stack([own, own[group]], 1))
+                for root in np.unique(group):
+                    old = np.unique(label[own[group == root]])
+                    if len(old) > 1:
+                        label[np.isin(label, old)] = old[0]
         pairs = np.concatenate(pairs)
         u, v = least_reached(ids[pairs[:, 0]], ids[pairs[:, 1]])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     for at in range(0, TABLES, tables_a_pass):
         freed(spark)
-        sent = sketches.select("id", *FPS).mapInArrow(emit(range(at, min(TABLES, at + tables_a_pass))), "bucket long, keys binary, places binary, ids binary, fps binary")
-        sent.groupBy("bucket").applyInArrow(link, "u long, v long").write.parquet(f"{path}/pass={at}")
+        sent = sketches.select("id", *FPS).mapInArrow(trimmed(emit(range(at, min(TABLES, at + tables_a_pass)))), "table long, bucket long, ids binary, fps binary")
+        sent.groupBy("table", "bucket").applyInArrow(link, "u long, v long").write.parquet(f"{path}/pass={at}")
         del sent
-    return spark.read.parquet(path).select("u", "v")
+    out = spark.read.parquet(path).select("u", "v")
+    out._quillon_path = path
+    return out
 
 
 def shingled(docs: DataFrame, size: int) -> DataFrame:
@@ -341,7 +366,7 @@ def shingled(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in own), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(some, pa.binary())], names=[*ROW, "doc_id", "id", "n", "some"])
 
     df = docs.select(*ROW, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return df.mapInArrow(run, ", ".join(f"{c} long" for c in [*ROW, "doc_id", "id", "n"]) + ", some binary")
+    return df.mapInArrow(trimmed(run), ", ".join(f"{c} long" for c in [*ROW, "doc_id", "id", "n"]) + ", some binary")
 
 
 def alone(rows: DataFrame) -> DataFrame:
@@ -372,7 +397,7 @@ def alone(rows: DataFrame) -> DataFrame:
         ids, n = np.unique(lo[lo == hi], return_counts=True)
         return pa.table({"id": pa.array(ids, pa.int64()), "alone": pa.array(n, pa.int64())})
 
-    sent = rows.select("id", "some").mapInArrow(emit, "bucket long, h binary, lo binary, hi binary")
+    sent = rows.select("id", "some").mapInArrow(trimmed(emit), "bucket long, h binary, lo binary, hi binary")
     return sent.groupBy("bucket").applyInArrow(count, "id long, alone long").groupBy("id").agg(F.sum("alone").alias("alone"))
 
 
@@ -387,7 +412,7 @@ def sketched(texts: DataFrame, size: int) -> DataFrame:
                 fps = np.array([majority([x], HASHES) for x in sets], np.uint64).reshape(-1, HASHES).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(HASHES)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", *FPS, "s"])
 
-    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in ["id", *FPS]) + ", s binary")
+    return texts.mapInArrow(trimmed(run), ", ".join(f"{c} long" for c in ["id", *FPS]) + ", s binary")
 
 
 def alike(sets: list[np.ndarray], least: float) -> np.ndarray:
@@ -430,14 +455,13 @@ def alike(sets: list[np.ndarray], least: float) -> np.ndarray:
     return np.concatenate(pairs)
 
 
-def similar(met: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (u, v) whose components are those of all pairs within a component ``met`` (id, root)
+def similar(members: DataFrame, least: float) -> DataFrame:
+    """Links (u, v) whose components are those of all pairs within a component (id, root, s)
     whose sets of shingles have ``least`` of their shingles in common.
 
     A component is compared whole; a larger one than ``BLOCK`` is dealt into blocks, and every
     two blocks are compared."""
-    spark = sets.sparkSession
-    members = written(sets.select("id", "s").join(met, "id"), "members")
+    spark = members.sparkSession
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum(F.octet_length("s")) / F.lit(BLOCK_BYTES))).alias("blocks"))
     total = members.agg(F.sum(F.octet_length("s"))).first()[0] or 0
     own, other = F.col("own"), F.col("other")
@@ -471,12 +495,19 @@ def near_classes(docs: DataFrame, size: int = STAGE_WORDS, least: float = SIMILA
     distinct = written(distinct.select("id", "first.*", (F.col("n") - F.col("alone") >= F.lit(least) * F.col("n")).alias("may")), "distinct")
     texts = docs.select(*ROW, F.coalesce("text", F.lit("")).alias("text")).join(distinct.where("may").drop("may"), ROW).select("id", "text")
     sets = written(sketched(texts, size), "sketches")
-    # Sketches go with their variants, so that no more of these are on disk than the texts take.
-    a_pass = max(1, min(TABLES_A_PASS, distinct.count() // max(1, sets.count())))
-    met = written(components(met_tables(sets, a_pass)), "met")
+    # The shingles looked for have done their work; what is on disk here is there in all later passes.
+    slim = written(rows.select(*ROW, "doc_id", "id"), "ids")
+    discard(rows)
+    # Sketches go to several buckets, so that no more of these are on disk than the texts take.
+    links = met_tables(sets, max(1, min(TABLES_A_PASS, distinct.count() // max(1, sets.count()))))
+    met = written(components(links), "met")
+    discard(links)
     met = met.select(F.col("u").alias("id"), "root").union(met.select("root", "root").distinct())
-    roots = written(components(similar(met, sets, least)), "roots")
-    classed = rows.select(*ROW, "doc_id", "id").join(roots.withColumnRenamed("u", "id"), "id", "left")
+    members = written(sets.select("id", "s").join(met, "id"), "members")
+    discard(sets)
+    roots = written(components(similar(members, least)), "roots")
+    discard(members)
+    classed = slim.join(roots.withColumnRenamed("u", "id"), "id", "left")
     return classed.select(*ROW, "doc_id", F.coalesce("root", "id").alias("root"))
 
 

@@ -1,6 +1,7 @@
 """Scores, tokens, counts, packing, fingerprints, rules, leaks, pages and archives."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -352,6 +353,38 @@ def test_one_of_each_keeps_clean_documents(table, clash):
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [0, 1, 3]
 
 
+def test_a_sketch_goes_to_few_buckets_a_table_however_many_there_are(spark, monkeypatch):
+    """Links are those of all pairs with at most two differing bits in a table, in any number of buckets."""
+    rng = np.random.default_rng(9)
+    fps = rng.integers(0, 1 << 63, (300, simhash.HASHES)).astype(np.uint64)
+    for k in range(0, 300, 3):
+        fps[k + 1] = fps[k]
+        for b in simhash.table_bits(k % simhash.TABLES)[: 1 + k % 4].tolist():
+            fps[k + 1, b >> 6] ^= np.uint64(1 << (b & 63))
+    masks = np.array([0, *(1 << i for i in range(simhash.SHORT))], np.uint64)
+    short = [simhash.shorts(fps, t) for t in range(simhash.TABLES)]
+    want = {(a, b) for x in short for a, b in np.argwhere(np.bitwise_count(x[:, None] ^ x[None]) <= 2).tolist() if a < b and np.bitwise_count(fps[a] ^ fps[b]).sum() <= simhash.MOST_DIFFERENT * simhash.SKETCH}
+    df = spark.createDataFrame([(i, *map(int, f.view(np.int64))) for i, f in enumerate(fps)], "id long, " + ", ".join(f"{c} long" for c in simhash.FPS))
+    for size in (250_000, 300, 20):
+        monkeypatch.setattr(simhash, "TABLE_BUCKET", size)
+        links = simhash.met_tables(df, 20)
+        assert {(min(r), max(r)) for r in map(tuple, links.collect())} == want
+    for cut in (3, 10):
+        _, who = simhash.placed(short[0], masks, cut)
+        assert np.bincount(who).tolist() == [cut + 1] * 300  # one a variant, 33, before
+
+
+def test_what_a_stage_has_written_for_itself_is_gone(table):
+    from quillon.sources.shared import shared_dir
+
+    df = table(rows([f"{' '.join(f'w{i}' for i in range(90))} x{k}" for k in range(6)]))
+    folder = shared_dir(df.sparkSession).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert len({r.root for r in simhash.near_classes(df).collect()}) == 1
+    left = {x.split("-")[0] for x in set(os.listdir(folder)) - before}
+    assert not left & {"shingled", "sketches", "members", "links"}
+
+
 def test_near_duplicates_are_similar(table):
     rnd = random.Random(3)
     word = lambda: f"w{rnd.randrange(10**6)}"
