@@ -250,6 +250,26 @@ def test_numbers_don_t_repeat(spark):
     assert got == list(range(10, 10 + 3 * 5000, 3))
 
 
+@pytest.mark.parametrize(
+    ("statement", "wanted"),
+    [
+        ("SELECT k, t.v FROM o, LATERAL (SELECT v FROM i WHERE i.k = o.k ORDER BY p DESC, v LIMIT 2) t", [(1, 11), (1, 12), (2, 20)]),
+        ("SELECT k, t.v FROM o, LATERAL (SELECT v, p * 2 AS w FROM i WHERE i.k = o.k ORDER BY p DESC, v LIMIT 1 OFFSET 1) t", [(1, 12)]),
+        ("SELECT k, (SELECT v FROM i WHERE i.k = o.k ORDER BY p DESC, v LIMIT 1) AS v FROM o", [(1, 11), (2, 20)]),
+        ("SELECT k, t.v FROM o, LATERAL (SELECT DISTINCT ON (p) v FROM i WHERE i.k = o.k ORDER BY p DESC, v LIMIT 1) t", [(1, 11), (2, 20)]),
+    ],
+)
+def test_limits_by_the_outer_row_keep_their_order(spark, statement, wanted):
+    """The ranking itself has the order, which a sort before a shuffle doesn't keep."""
+    e = Engine(spark)
+    e.register("o", spark.createDataFrame([(1,), (2,)], "k int"))
+    e.register("i", spark.createDataFrame([(1, 10, 1.0), (1, 12, 2.0), (1, 11, 3.0), (2, 20, 1.0)], "k int, v int, p double"))
+    df = e.sql(statement)
+    assert sorted((r.k, r.v) for r in df.collect()) == wanted
+    ranks = [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("windowspecdefinition(")[1:] if "rn#" in x.split("\n")[0]]
+    assert ranks and all("DESC NULLS LAST" in x.split("specifiedwindowframe")[0] for x in ranks)
+
+
 def test_a_lost_version_is_no_first_batch(spark, tmp_path):
     """A view whose last version can't be read isn't begun anew."""
     log = spark.createDataFrame([("a", 1, "I")], "k string, v long, op string")
