@@ -109,16 +109,17 @@ def delete(df: DataFrame, where: Column) -> DataFrame:
 
 
 def numbered(df: DataFrame, column: str, order: list, start: int = 1, step: int = 1) -> DataFrame:
-    """Sequence values without a single-task window: ranges are sorted apart and offset by counts.
+    """Sequence values without a single-task window: rows are numbered within ranges, which are
+    offset by the counts of those before.
 
     Ranges are written first, so that counts and values are of the same ones; what is broadcast
     is a number a range."""
     ranged = df.repartitionByRange(*map(order_of, order)).withColumn("_range", F.spark_partition_id())
-    ranged = written(ranged, "ranges").repartition("_range").sortWithinPartitions("_range", *map(order_of, order))
-    part = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_inner", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    sizes = part.groupBy("_part").count()
-    base = sizes.withColumn("_base", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    return part.join(F.broadcast(base), "_part").withColumn(column, F.lit(start) + step * (F.col("_base") + F.col("_inner"))).drop("_part", "_base", "_inner")
+    ranged = written(ranged, "ranges")
+    sizes = ranged.groupBy("_range").count()
+    base = sizes.withColumn("_base", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    inner = F.row_number().over(Window.partitionBy("_range").orderBy(*map(order_of, order)))
+    return ranged.withColumn("_inner", inner).join(F.broadcast(base), "_range").withColumn(column, F.lit(start) + step * (F.col("_base") + F.col("_inner") - 1)).drop("_range", "_base", "_inner")
 
 
 # --- large joins ---------------------------------------------------------------

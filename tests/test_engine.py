@@ -250,6 +250,17 @@ def test_numbers_don_t_repeat(spark):
     assert got == list(range(10, 10 + 3 * 5000, 3))
 
 
+def test_numbers_follow_the_order(spark):
+    """With several ranges in tasks of their own, as rows of many files have."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(5000).select((F.col("id") * 7 % 5000).alias("a")).repartition(5)
+        got = relational.numbered(df, "n", ["-a"], 100, 5).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.a: r.n for r in got} == {a: 100 + 5 * (4999 - a) for a in range(5000)}
+
+
 @pytest.mark.parametrize(
     ("statement", "wanted"),
     [
