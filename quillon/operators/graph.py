@@ -133,12 +133,16 @@ def linked_by_name(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def linked_by_vector(mentions: DataFrame, targets: DataFrame, k: int, least: float, cells: int = 16, probes: int | None = None) -> DataFrame:
     """Edges (src, dst, weight) from each mention to the ``k`` targets of the greatest cosine
-    similarity, if it is ``least`` or more; both have id and vector.  Targets are indexed by cells;
-    with all of them probed, as is the default, nothing is missed."""
-    from .search import IvfIndex
-
-    index = IvfIndex(targets.select("id", "vector"), "id", "vector", cells)
-    near = index.search_all(mentions.select("id", "vector"), k, probes or cells, "cosine")
+    similarity (up to nine decimals, ties by id), if it is ``least`` or more; both have id and vector.
+    With all cells probed, as is the default, every pair counts and no index is made; else targets
+    are indexed by cells."""
+    from .search import IvfIndex, knn_all
+
+    mentions, targets = mentions.select("id", "vector"), targets.select("id", "vector")
+    if probes is None or probes >= cells:
+        near = knn_all(targets, mentions, k, "cosine", "id", "vector", 9)
+    else:
+        near = IvfIndex(targets, "id", "vector", cells).search_all(mentions, k, probes, "cosine")
     return near.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), (1 - F.col("distance")).alias("weight")).where(F.col("weight") >= least)
 
 

@@ -63,6 +63,139 @@ def knn(df: DataFrame, query: list[float], k: int, metric: str = "l2", id_col: s
     return df.withColumn("distance", METRICS[metric](vec_col, query)).orderBy("distance", id_col).limit(k)
 
 
+#: Query vectors of a scan of a table, and those whose distances to a batch are made at once.
+BLOCK, TILE, PAIRS = 4096, 512, 1 << 16
+
+
+def _vectors(column: pa.Array, width: int) -> np.ndarray:
+    """A batch's lists as the rows of a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if len(flat) != len(column) * width or (np.diff(column.offsets.to_numpy()) != width).any():
+        raise ValueError(f"vectors have to have {width} elements")
+    return flat.reshape(len(column), width)
+
+
+def _rough(metric: str, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of all pairs by a product of matrices, those of l2 squared, and what they may be off."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if metric == "l1":
+            far = sum(np.abs(q[:, j, None] - x[:, j]) for j in range(q.shape[1]))
+            return far, 1e-12 * (np.abs(q).sum(1) + np.abs(x).sum(1).max())
+        far, a, b = q @ x.T, (q**2).sum(1), (x**2).sum(1)
+        if metric == "cosine":
+            size = np.sqrt(a)[:, None] * np.sqrt(b)
+            return np.where(size == 0, 1.0, 1 - far / size), np.full(len(q), 1e-12)
+        slack = 1e-12 * (a + b.max())
+        return (a[:, None] - 2 * far + b if metric == "l2" else -far), slack
+
+
+def _exact(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Distances of row to row."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if metric in ("l1", "l2"):
+            return np.abs(x - q).sum(1) if metric == "l1" else np.sqrt(((x - q) ** 2).sum(1))
+        dot = (x * q).sum(1)
+        size = np.sqrt((x**2).sum(1)) * np.sqrt((q**2).sum(1))
+        return -dot if metric == "inner_product" else np.where(size == 0, 1.0, 1 - dot / size)
+
+
+class _Nearest:
+    """The ``k`` nearest rows of each query so far, ties by id; distances count up to ``digits``."""
+
+    def __init__(self, vectors: np.ndarray, k: int, metric: str, digits: int | None):
+        self.q, self.k, self.metric, self.digits = vectors, k, metric, digits
+        self.at, self.ids, self.d = np.empty(0, np.int64), None, np.empty(0)
+        self.last = np.full(len(vectors), np.inf)
+
+    def add(self, own: np.ndarray, x: np.ndarray, allowed=None) -> None:
+        """A batch; ``allowed`` gives which of its rows a tile of queries may meet."""
+        found = [(self.at, own[:0] if self.ids is None else self.ids, self.d)]
+        bad = bool(np.isnan(x).any())
+        for a in range(0, len(self.q), TILE):
+            q = self.q[a : a + TILE]
+            far, slack = _rough(self.metric, q, x)
+            if bad or np.isnan(q).any():
+                far = np.where(np.isnan(far), np.inf, far)
+            met = allowed(slice(a, a + len(q)), far.shape) if allowed else None
+            if met is not None:
+                far[~met] = np.inf
+            near = far <= self._limit(self.last[a : a + TILE], slack)[:, None]
+            if far.shape[1] > self.k and near.sum() > 4 * self.k * len(q):  # much nearer than all before
+                top = np.partition(far, self.k - 1, axis=1)[:, self.k - 1] + slack
+                top = np.sqrt(np.maximum(top, 0)) if self.metric == "l2" else top
+                near &= far <= self._limit(top, slack)[:, None]
+            at, rows = np.nonzero(near if met is None else near & met)
+            for i in range(0, len(at), PAIRS):
+                j, r = at[i : i + PAIRS], rows[i : i + PAIRS]
+                found.append((j + a, own[r], _exact(self.metric, q[j], x[r])))
+        if len(found) > 1:
+            at, ids, d = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((ids, d if self.digits is None else np.round(d, self.digits), at))
+            at, ids, d = at[order], ids[order], d[order]
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            self.at, self.ids, self.d = (c[place < self.k] for c in (at, ids, d))
+            full = place == self.k - 1
+            self.last[at[full]] = np.where(np.isnan(d[full]), np.inf, d[full])
+
+    def _limit(self, d: np.ndarray, slack: np.ndarray) -> np.ndarray:
+        """Up to where rough distances may be as near as ``d``."""
+        d = d + (0 if self.digits is None else 2 * 10.0**-self.digits)
+        return (d**2 if self.metric == "l2" else d) + slack
+
+
+def _scanned(rows: DataFrame, asked: DataFrame, k: int, metric: str, id_col: str, prepared, digits: int | None = None) -> DataFrame:
+    """query_id, ``id_col`` and distance of the ``k`` nearest ``rows`` (id, vector, further columns) of
+    each row of ``asked`` (id, vector).
+
+    Queries go in blocks, each a scan of the table; a task keeps the nearest of its rows so far, so
+    it holds a block, a batch and their results, and tasks' results are ranked again.  ``prepared``
+    takes a block's vectors and gives what takes a batch to its ``allowed``, or None for all."""
+    spark, found, waiting = rows.sparkSession, None, []
+    schema = f"query_id {dict(asked.dtypes)[asked.columns[0]]}, {id_col} {dict(rows.dtypes)[id_col]}, distance double"
+    rows = rows.repartition(2 * spark.sparkContext.defaultParallelism, id_col)
+
+    def scan(ids: np.ndarray, vectors: np.ndarray):
+        allowed = prepared(vectors)
+
+        def run(batches):
+            best = _Nearest(vectors, k, metric, digits)
+            for batch in batches:
+                if batch.num_rows:
+                    x = _vectors(batch.column(1), vectors.shape[1])
+                    own = batch.column(0).to_numpy(zero_copy_only=False)
+                    best.add(own.astype(str) if own.dtype == object else own, x, allowed and allowed(batch, x))
+            if len(best.at):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[best.at], best.ids, best.d)], names=["query_id", id_col, "distance"])
+
+        return run
+
+    def add():
+        some = rows.mapInArrow(scan(np.array([r[0] for r in waiting]), np.array([r[1] for r in waiting], dtype=float)), schema)
+        return some if found is None else found.union(some)
+
+    for r in asked.toLocalIterator():
+        waiting.append(r)
+        if len(waiting) == BLOCK:
+            found, waiting = add(), []
+    if waiting:
+        found = add()
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    near = F.col("distance") if digits is None else F.round("distance", digits)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(near, id_col))
+    return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+
+
+def _as_vectors(df: DataFrame, id_col: str, vec_col: str, *more: str) -> DataFrame:
+    return df.where(F.col(vec_col).isNotNull()).select(id_col, F.col(vec_col).cast("array<double>").alias("v"), *more)
+
+
+def knn_all(df: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "id", vec_col: str = "embedding", digits: int | None = None) -> DataFrame:
+    """query_id, ``id_col`` and distance of the exact ``k`` nearest rows of every query, by all pairs;
+    distances that are the same up to ``digits`` are ties, which go by id."""
+    return _scanned(_as_vectors(df, id_col, vec_col), _as_vectors(queries, id_col, vec_col), k, metric, id_col, lambda vectors: None, digits)
+
+
 class IvfIndex:
     """Approximate search: k-means cells fitted on a bounded sample, every vector indexed.
 

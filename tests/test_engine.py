@@ -400,6 +400,26 @@ def test_registered_index_recall(spark):
     assert sum(len(got[i] & x) for i, x in asked.items()) / sum(map(len, asked.values())) >= 0.9
 
 
+def test_links_by_vector_are_the_brute_force(spark, monkeypatch):
+    """Over blocks of queries, without a row a pair; what differs by rounding alone is a tie, by id."""
+    import random
+
+    rnd = random.Random(3)
+    ways = [[rnd.gauss(0, 1) for _ in range(6)] for _ in range(40)]
+    size = [rnd.choice([0.1, 0.3, 0.7, 3.0]) for _ in range(240)]
+    rows = [(f"n{i:03}", [x * size[i] for x in ways[i % 40]]) for i in range(240)] + [("none", None), ("zero", [0.0] * 6)]
+    df = spark.createDataFrame(rows, "id string, vector array<double>").repartition(7)
+    monkeypatch.setattr(search, "BLOCK", 25, raising=False)
+    got = graph.linked_by_vector(df.where("id LIKE 'n%'"), df, 3, 0.2, 8)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    wanted = set()
+    for i, v in rows[:240]:
+        cos = lambda w: sum(x * y for x, y in zip(v, w, strict=True)) / (math.hypot(*v) * math.hypot(*w) or 1)  # noqa: B023, E731
+        near = sorted((round(1 - cos(w), 9), j) for j, w in rows if w)[:3]
+        wanted |= {(i, j) for d, j in near if 1 - d >= 0.2}
+    assert {(r.src, r.dst) for r in got.collect()} == wanted
+
+
 def test_mmr_is_the_brute_force(spark):
     q, vectors = [1.0, 0.0], [(1, [1.0, 0.0]), (2, [0.99, 0.1]), (3, [0.0, 1.0]), (4, [0.7, 0.7])]
     cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
