@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import pg
 from ..sources.shared import written
@@ -186,6 +187,15 @@ def _scanned(rows: DataFrame, asked: DataFrame, k: int, metric: str, id_col: str
     return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
+def _nearest_centres(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """The numbers of each row's ``n`` nearest centres."""
+    out = []
+    for a in range(0, len(x), TILE):
+        far = (centres**2).sum(1) - 2 * x[a : a + TILE] @ centres.T
+        out.append(far.argmin(1)[:, None] if n == 1 else np.argsort(far, axis=1, kind="stable")[:, :n])
+    return np.concatenate(out)
+
+
 def _as_vectors(df: DataFrame, id_col: str, vec_col: str, *more: str) -> DataFrame:
     return df.where(F.col(vec_col).isNotNull()).select(id_col, F.col(vec_col).cast("array<double>").alias("v"), *more)
 
@@ -207,20 +217,26 @@ class IvfIndex:
         from pyspark.ml.functions import array_to_vector
 
         self.id_col, self.vec_col = id_col, vec_col
-        n = df.count()
-        some = df if n <= sample else df.where(F.pmod(F.xxhash64(id_col), F.lit(n)) < sample)
+        known = df.where(F.col(vec_col).isNotNull())
+        n = known.count()
+        some = known if n <= sample else known.where(F.pmod(F.xxhash64(id_col), F.lit(n)) < sample)
         model = KMeans(k=cells, seed=seed, featuresCol="_v", maxIter=10).fit(some.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v")))
         self.centres = [[float(x) for x in c] for c in model.clusterCenters()]
         self.table = self._placed(df)
 
-    def _cells(self, vec_col: str, probes: int) -> Column:
-        """The numbers of the nearest cells, the nearest first; null for no vector."""
-        far = F.array(*(F.struct(pg.l2_distance(vec_col, c).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(self.centres)))
-        near = F.transform(F.slice(F.array_sort(far), 1, probes), lambda x: x["cell"])
-        return F.when(F.col(vec_col).isNotNull(), near)
-
     def _placed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("cell", F.get(self._cells(self.vec_col, 1), F.lit(0)))
+        """With the number of the nearest cell; null for no vector."""
+        centres, at = np.array(self.centres), df.columns.index(self.vec_col)
+
+        def run(batches):
+            for batch in batches:
+                given = batch.column(at).is_valid().to_numpy(zero_copy_only=False)
+                cells = np.zeros(len(given), np.int32)
+                if given.any():
+                    cells[given] = _nearest_centres(_vectors(batch.column(at).filter(pa.array(given)).cast(pa.list_(pa.float64())), centres.shape[1]), centres, 1)[:, 0]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32(), mask=~given)], names=[*batch.schema.names, "cell"])
+
+        return df.mapInArrow(run, StructType([*df.schema.fields, StructField("cell", IntegerType())]))
 
     def insert(self, rows: DataFrame) -> None:
         """Rows of new ids, or new vectors of known ones."""
@@ -232,12 +248,20 @@ class IvfIndex:
 
     def search_all(self, queries: DataFrame, k: int, probes: int = 4, metric: str = "l2") -> DataFrame:
         """query_id, id and distance of the ``k`` nearest of every row of ``queries`` (same columns):
-        queries meet the table at their cells, and distances are exact."""
-        asked = queries.select(F.col(self.id_col).alias("query_id"), F.col(self.vec_col).alias("_q"), F.explode(self._cells(self.vec_col, probes)).alias("cell"))
-        far = METRICS[metric](self.vec_col, F.col("_q"))
-        met = self.table.join(asked, "cell").select("query_id", self.id_col, far.alias("distance"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", self.id_col))
-        return met.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+        queries meet the rows of their cells, and distances are exact."""
+        centres = np.array(self.centres)
+
+        def prepared(vectors: np.ndarray):
+            probed = np.zeros((len(vectors), len(centres)), bool)
+            np.put_along_axis(probed, _nearest_centres(vectors, centres, probes), True, axis=1)
+
+            def allowed(batch: pa.RecordBatch, x: np.ndarray):
+                cells = batch.column(2).to_numpy()
+                return lambda tile, far: probed[tile][:, cells]
+
+            return allowed
+
+        return _scanned(_as_vectors(self.table, self.id_col, self.vec_col, "cell"), _as_vectors(queries, self.id_col, self.vec_col), k, metric, self.id_col, prepared)
 
     def write(self, path: str) -> None:
         self.table.repartition("cell").write.partitionBy("cell").parquet(path)

@@ -420,6 +420,29 @@ def test_links_by_vector_are_the_brute_force(spark, monkeypatch):
     assert {(r.src, r.dst) for r in got.collect()} == wanted
 
 
+def test_index_search_meets_the_probed_cells(spark, monkeypatch):
+    """Without a row a pair: the brute force over each query's cells; a row without a vector isn't met."""
+    import random
+
+    rnd = random.Random(8)
+    rows = [(i, [rnd.gauss(0, 1) + (i % 5) * 3 for _ in range(4)]) for i in range(300)] + [(900, None), (901, [0.5] * 4), (902, [0.5] * 4)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(5)
+    monkeypatch.setattr(search, "BLOCK", 9, raising=False)
+    index = search.IvfIndex(df, "id", "embedding", cells=6)
+    found = index.search_all(df.where("id % 10 = 0 OR id > 900"), 4, probes=2)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    cell, got = {r.id: r.cell for r in index.table.collect()}, {}
+    assert cell.pop(900) is None
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r.distance, r.id))
+    by = dict(rows)
+    for q in [i for i in by if by[i] and (i % 10 == 0 or i > 900)]:
+        probed = sorted(range(6), key=lambda c: math.dist(by[q], index.centres[c]))[:2]
+        wanted = sorted((math.dist(by[q], by[i]), i) for i, c in cell.items() if c in probed)[:4]
+        assert [i for _, i in sorted(got.pop(q))] == [i for _, i in wanted]
+    assert not got
+
+
 def test_mmr_is_the_brute_force(spark):
     q, vectors = [1.0, 0.0], [(1, [1.0, 0.0]), (2, [0.99, 0.1]), (3, [0.0, 1.0]), (4, [0.7, 0.7])]
     cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
