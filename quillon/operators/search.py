@@ -274,20 +274,40 @@ class IvfIndex:
 class ProductQuantizer:
     """Vectors as a code for each part; distances from tables of the query's parts."""
 
-    def __init__(self, df: DataFrame, vec_col: str, parts: int = 4, codes: int = 16, sample: int = 100_000, seed: int = 7):
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
+    def __init__(self, df: DataFrame, vec_col: str, parts: int = 4, codes: int = 16, sample: int = 100_000, seed: int = 7, rounds: int = 10):
+        """k-means of all parts at once on a bounded sample: a job a round, in which every task sums
+        up the members of its rows' nearest codes."""
         self.vec_col, self.parts = vec_col, parts
-        first = df.select(F.size(vec_col)).first()
-        self.width = first[0] // parts
-        n = df.count()
-        some = df if n <= sample else df.where(F.pmod(F.xxhash64(vec_col), F.lit(n)) < sample)
-        self.books = []
-        for p in range(parts):
-            own = some.select(array_to_vector(self.part(p).cast("array<double>")).alias("_v"))
-            model = KMeans(k=codes, seed=seed, featuresCol="_v", maxIter=10).fit(own)
-            self.books.append([[float(x) for x in c] for c in model.clusterCenters()])
+        known = df.where(F.col(vec_col).isNotNull()).select(F.col(vec_col).cast("array<double>").alias("v"))
+        n = known.count()
+        if not n:
+            raise ValueError("there are no vectors to fit codes to")
+        some = known if n <= sample else known.where(F.pmod(F.xxhash64("v"), F.lit(n)) < sample)
+        some = written(some.repartition(df.sparkSession.sparkContext.defaultParallelism, "v"), "sample")
+        first = [r[0] for r in some.distinct().orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(codes).collect()]  # as many as codes
+        self.width = width = len(first[0]) // parts
+        books = np.array(first)[:, : width * parts].reshape(len(first), parts, width).transpose(1, 0, 2).copy()
+        full = len(first[0])
+
+        def summed(books: np.ndarray):
+            def run(batches):
+                total = np.zeros((*books.shape[:2], width + 1))
+                for batch in batches:
+                    x = _vectors(batch.column(0), full)
+                    for p, book in enumerate(books):
+                        own = x[:, p * width : (p + 1) * width]
+                        code = _nearest_centres(own, book, 1)[:, 0] if len(x) else np.empty(0, int)
+                        for j in range(width):
+                            total[p, :, j] += np.bincount(code, own[:, j], len(book))
+                        total[p, :, width] += np.bincount(code, minlength=len(book))
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["total"])
+
+            return run
+
+        for _ in range(rounds):
+            total = sum(np.frombuffer(r[0]).reshape(*books.shape[:2], width + 1) for r in some.mapInArrow(summed(books), "total binary").collect())  # a few numbers a code and task
+            books = np.where(total[:, :, width:] > 0, total[:, :, :width] / np.maximum(total[:, :, width:], 1), books)
+        self.books = [[[float(x) for x in c] for c in book] for book in books]
 
     def part(self, p: int) -> Column:
         return F.slice(self.vec_col, p * self.width + 1, self.width)
@@ -308,51 +328,31 @@ class ProductQuantizer:
             total = total + F.get(table, F.get(code, F.lit(p)))
         return F.sqrt(total)
 
-    def search(self, df: DataFrame, queries: DataFrame, k: int, shortlist: int, id_col: str = "id", block: int = 512) -> DataFrame:
+    def search(self, df: DataFrame, queries: DataFrame, k: int, shortlist: int, id_col: str = "id") -> DataFrame:
         """query_id, ``id_col`` and exact distance of the ``k`` nearest of each row of ``queries``.
 
         Queries go in blocks, each a scan of the table; in every batch the ``shortlist`` nearest
-        by code are ranked by their vectors, and batches' results are ranked again."""
-        books, width, vec_col = [np.array(b) for b in self.books], self.width, self.vec_col
+        by code are ranked by their vectors, and batches' results are ranked again.  The distance by
+        code is that to what the code stands for, made for all pairs by a product of matrices."""
+        books, width = [np.array(b) for b in self.books], self.width
 
-        def scan(ids: list[int], vectors: np.ndarray):
-            def run(batches):
-                for batch in batches:
-                    if not batch.num_rows:
-                        continue
-                    own = batch.column(0).to_numpy()
-                    x = batch.column(1).flatten().to_numpy().reshape(len(own), -1)
-                    far = np.zeros((len(ids), len(own)))
-                    for p, book in enumerate(books):
-                        part = x[:, p * width : (p + 1) * width]
-                        code = ((book**2).sum(1) - 2 * part @ book.T).argmin(1)
-                        far += ((vectors[:, None, p * width : (p + 1) * width] - book) ** 2).sum(2)[:, code]
-                    m = min(shortlist, len(own))
-                    near = np.argpartition(far, m - 1, axis=1)[:, :m]
-                    out = []
-                    for q, some in enumerate(near):
-                        d = np.sqrt(((x[some] - vectors[q]) ** 2).sum(1))
-                        best = np.lexsort((own[some], d))[:k]
-                        out.append((np.full(len(best), ids[q]), own[some][best], d[best]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", id_col, "distance"])
+        def prepared(vectors: np.ndarray):
+            def allowed(batch: pa.RecordBatch, x: np.ndarray):
+                if shortlist >= len(x):
+                    return None
+                parts = [x[:, p * width : (p + 1) * width] for p in range(len(books))]
+                coded = np.concatenate([book[_nearest_centres(part, book, 1)[:, 0]] for part, book in zip(parts, books, strict=True)], axis=1)
+                sizes, known = (coded**2).sum(1), coded.shape[1]
 
-            return run
+                def of(tile: slice, shape: tuple[int, int]) -> np.ndarray:
+                    far = sizes - 2 * vectors[tile, :known] @ coded.T
+                    return far <= np.partition(far, shortlist - 1, axis=1)[:, shortlist - 1 : shortlist]
+
+                return of
+
+            return allowed
 
-        rows = df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col).cast("array<double>").alias("v"))
-        asked, found, waiting = queries.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")), None, []
-
-        def add():
-            some = rows.mapInArrow(scan([r[0] for r in waiting], np.array([r[1] for r in waiting])), f"query_id long, {id_col} long, distance double")
-            return some if found is None else found.union(some)
-
-        for r in asked.toLocalIterator():
-            waiting.append(r)
-            if len(waiting) == block:
-                found, waiting = add(), []
-        if waiting or found is None:
-            found = add() if waiting else rows.limit(0).selectExpr(f"{id_col} AS query_id", id_col, "0D AS distance")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col))
-        return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+        return _scanned(_as_vectors(df, id_col, self.vec_col), _as_vectors(queries, id_col, self.vec_col), k, "l2", id_col, prepared)
 
 
 def biased(hits: DataFrame, central: DataFrame, k: int, alpha: float, where: Column | None = None) -> DataFrame:

@@ -443,6 +443,28 @@ def test_index_search_meets_the_probed_cells(spark, monkeypatch):
     assert not got
 
 
+def test_quantizer_fits_all_parts_at_once(spark):
+    """Jobs don't grow with the parts; a row without a vector has no code."""
+    import random
+
+    rnd = random.Random(9)
+    rows = [(i, [rnd.choice([-4.0, 0.0, 4.0]) + rnd.gauss(0, 0.01) for _ in range(16)]) for i in range(500)] + [(900, None)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    context = spark.sparkContext
+    context.setJobGroup("fit", "fit")
+    try:
+        pq = search.ProductQuantizer(df, "embedding", parts=8, codes=24)
+        jobs = len(context.statusTracker().getJobIdsForGroup("fit"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 40
+    got = {}
+    for r in pq.search(df, df.where("id % 50 = 0 AND id < 500"), 5, 60).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    near = lambda v: {i for _, i in sorted((math.dist(v, w), i) for i, w in rows if w)[:5]}
+    assert sum(len(near(v) & got[i]) for i, v in rows if i % 50 == 0 and v) >= 0.9 * 5 * 10
+
+
 def test_mmr_is_the_brute_force(spark):
     q, vectors = [1.0, 0.0], [(1, [1.0, 0.0]), (2, [0.99, 0.1]), (3, [0.0, 1.0]), (4, [0.7, 0.7])]
     cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
